@@ -28,3 +28,51 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(read(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
     decoded = bpe.decoder(spark, vocab)("ids")
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import warc
+
+    records = warc.read(warc.write(read(spark, sf_dir, "pages"), min_revisit_bytes=0))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import simhash
+
+    found = simhash.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spillway.llm import packing
+
+    pieces = packing.tokenize(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(pieces, capacity=2048)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import line_dedup
+
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op7_line_dedup"] = r"""
+WITH lines AS (
+    SELECT d.rid, d.doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+         LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) u
+),
+common AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
+FROM lines GROUP BY rid, doc_id
+"""
