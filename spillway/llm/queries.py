@@ -76,3 +76,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM c
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
 FROM lines GROUP BY rid, doc_id
 """
+
+
+@query
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import embed_dedup
+
+    return embed_dedup.dedup(read(spark, sf_dir, "embeddings"), threshold=0.98)
