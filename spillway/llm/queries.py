@@ -83,3 +83,22 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spillway.llm import embed_dedup
 
     return embed_dedup.dedup(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import labelled, quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.learn(docs, read(spark, sf_dir, "labels")), at_least=1)
+    judged = judged.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "quality.expected_grade", "quality.tail_prob")
+    return judged.withColumn("selected", F.col("tail_prob") >= 0.5)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import labelled, toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
