@@ -102,3 +102,35 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import rules
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = rules.judge(docs, rules.learn(docs, read(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spillway.llm import chat
+
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op8_chat"] = r"""
+WITH t AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations
+),
+c AS (
+    SELECT conv_id, count(*) AS n_turns, list(sha256(coalesce('r' || role, '')) || sha256(coalesce('t' || text, '')) ORDER BY pos) AS turns FROM t GROUP BY conv_id
+),
+classes AS (SELECT turns, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns, n_turns),
+inner_ AS (SELECT DISTINCT sha256(array_to_string(list_slice(turns, 1, k), '')) AS h FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
+kept AS (SELECT conv_id, n_turns, n_copies FROM classes WHERE sha256(array_to_string(turns, '')) NOT IN (SELECT h FROM inner_))
+SELECT t.conv_id, (pos - 1) // 256 AS part, any_value(n_turns) AS n_turns, any_value(n_copies) AS n_copies,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY t.conv_id, part
+"""
