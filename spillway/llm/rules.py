@@ -45,11 +45,11 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("__windows", window)
     twice = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("__sorted", F.when(twice, placed).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
     same = lambda s, k: s["h"].eqNullSafe(F.get("__sorted", k)["h"])
     found = F.transform(F.filter("__sorted", lambda s, k: same(s, k - 1) | same(s, k + 1)), lambda s: s["i"])
-    out = out.withColumn("__at", F.array_sort(found))
+    out = out.withColumn("__at", F.sort_array(found))
     covered = F.aggregate(F.transform("__at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__at", k + 1), x + WINDOW) - x)), F.lit(0), lambda a, b: a + b)
     kept = [F.col(f"`{c}`") for c in names if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     out = out.select(
@@ -58,7 +58,8 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        # Never false, but not deterministic: Catalyst would push a filter down by copying these nested expressions into each other.
+        F.when(F.rand(0) < 2, covered).cast("long").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
@@ -94,15 +95,16 @@ def gain(p: int, n: int, p0: int, n0: int) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS) -> list[Rule]:
     """Rules, in order, that find rows with label 0 among those that pass the base rule."""
-    rows = statistics(sample(docs, labels, label_col, max_rows)).where("not base_failed")
+    rows = table(statistics(sample(docs, labels, label_col, max_rows)), "rules-statistics").where("not base_failed")
     rows = table(rows.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("label") <= 0).alias("bad"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 > 0).alias("grows")), "rules-rows")
     quantiles = [k / (THRESHOLDS + 1) for k in range(1, THRESHOLDS + 1)]
     # Thresholds from both kinds of rows: the rarer kind has its own quantiles.
-    by_kind = rows.groupBy("bad").agg(*(F.percentile(F.expr(x), F.array(*map(F.lit, quantiles))).alias(name) for name, x in FEATURES.items())).collect()
+    by_kind = rows.groupBy("bad").agg(*(F.percentile(F.expr(x), quantiles).alias(name) for name, x in FEATURES.items())).collect()
     if len(by_kind) < 2:
         return []
     cuts = {name: sorted({float(t) for r in by_kind for t in r[name]}) for name in FEATURES}
-    bin_of = {name: F.size(F.filter(F.array(*map(F.lit, cuts[name])), lambda t, x=x: t < F.expr(x))) for name, x in FEATURES.items()}
+    binned_by = lambda cuts, x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t < F.expr(x)))
+    bin_of = {name: binned_by(cuts[name], x) for name, x in FEATURES.items()}
     # At most max_rows rows: one partition saves the exchange.
     binned = table(rows.coalesce(1).withColumn("bins", F.array(*(F.struct(F.lit(name).alias("feature"), b.alias("bin")) for name, b in bin_of.items()))), "rules-bins")
     rules: list[Rule] = []
