@@ -116,7 +116,7 @@ def lookup(df: DataFrame, args: Mapping[str, Any], context: Any) -> DataFrame:
     key = top_level(args["onField"], table.schema).text()
     present = [c for c in adds if c in table.columns]
     firsts = table.where(key.isNotNull()).groupBy(key.alias("__key")).agg(F.min_by(F.struct(F.lit(True).alias("__hit"), *(_col(c) for c in present)), ORDER).alias("__found"))
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     firsts = F.broadcast(firsts) if size <= BROADCAST_BYTES else firsts
     given = split_path(args["withKey"], df.schema).text()
     joined = df.withColumn("__given", given).join(firsts, F.col("__given") == F.col("__key"), "left")

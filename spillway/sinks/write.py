@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -24,8 +23,11 @@ def _files(df: DataFrame, path: str):
     return jvm, conf, where.getFileSystem(conf), where
 
 
-def _one_file(df: DataFrame, url: str, write: Callable[[DataFrame, str], None], head: str = "") -> None:
-    """Parts go to a folder beside the target, are copied one after the other into a new file, and that takes the target's place."""
+def _one_file(df: DataFrame, url: str, write: Callable[[DataFrame, str], None], head: str = "", tail: str = "", between: str = "") -> None:
+    """Parts go to a folder beside the target, are copied one after the other into a new file, and that takes the target's place.
+
+    ``between`` is what ends each row of a part but must not end the last one.
+    """
     path = place(url)
     beside = f"{path}.parts-{uuid.uuid4().hex}"
     write(df, beside)
@@ -36,11 +38,14 @@ def _one_file(df: DataFrame, url: str, write: Callable[[DataFrame, str], None],
         out = files.create(whole, True)
         if head:
             out.write(bytearray(head.encode()))
-        for status in sorted((s.getPath().toString() for s in files.listStatus(parts))):
-            if "/part-" in status:
-                given = files.open(jvm.org.apache.hadoop.fs.Path(status))
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, conf, False)
-                given.close()
+        found = sorted(((s.getPath().toString(), s.getLen()) for s in files.listStatus(parts)))
+        found = [(name, size) for name, size in found if "/part-" in name and size]
+        for k, (name, size) in enumerate(found):
+            given = files.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.commons.io.IOUtils.copyLarge(given, out, 0, size - (len(between.encode()) if k == len(found) - 1 else 0))
+            given.close()
+        if tail:
+            out.write(bytearray(tail.encode()))
         out.close()
         files.delete(target, False)
         files.rename(whole, target)
@@ -77,24 +82,9 @@ def csv(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
 
 
 def json_array(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
-    """One array; rows pass the driver one partition at a time."""
-    rows = visible(df)
-    path = place(args["url"])
-    _, _, files, target = _files(df, path)
-    whole = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = files.create(whole, True)
-    held, size, first = ["["], 1, True
-    for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        text = json.dumps(json.loads(r["j"]), indent=2, ensure_ascii=False).replace("\n", "\n  ") if args["pretty"] else r["j"]
-        held.append(("" if first else ",") + ("\n  " if args["pretty"] else "") + text)
-        size, first = size + len(text), False
-        if size > 1 << 20:
-            out.write(bytearray("".join(held).encode()))
-            held, size = [], 0
-    out.write(bytearray(("".join(held) + ("\n]" if args["pretty"] and not first else "]")).encode()))
-    out.close()
-    files.delete(target, False)
-    files.rename(whole, target)
+    """One array."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != ORDER)), {"ignoreNullFields": "false", "pretty": str(bool(args["pretty"])).lower()})
+    _one_file(df.select(row.alias("value")), args["url"], lambda r, path: r.write.option("lineSep", ",\n").text(path), "[\n", "\n]\n", ",\n")
 
 
 def _swap(df: DataFrame, path: str) -> None:
