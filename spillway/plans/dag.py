@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -159,6 +160,18 @@ def compile_job(job: Job, spark: SparkSession, home: str | None = None, views: M
     return out
 
 
+def observed(observation: Observation, seconds: float = 5.0) -> int | None:
+    """What was counted, or None if no query that counts has ended; ``get`` would wait for ever."""
+    until = time.monotonic() + seconds
+    while True:
+        found = observation._jo.getOrEmpty() if observation._jo is not None else None
+        if found is not None and found.size():
+            return int(observation.get["n"])
+        if time.monotonic() > until:
+            return None
+        time.sleep(0.02)
+
+
 def run_node(node: Node, context: Context, readers: int, status, cancelled: threading.Event, count_rows_in: bool = False) -> DataFrame:
     """Builds a node's rows and writes its sinks, each by one action; rows that several actions need are kept meanwhile."""
     writers = [(s, writer(s)) for s in node.sinks if s.kind not in LAZY]
@@ -191,8 +204,11 @@ def run_node(node: Node, context: Context, readers: int, status, cancelled: thre
             raise
     if not writers:
         counted.write.format("noop").mode("overwrite").save()
-    n = rows_out.get["n"]
-    status.counts(node.id, rows_in.get["n"] if rows_in is not None else None, n, {label: n for label in labels})
+    n = observed(rows_out)
+    if n is None:  # a sink of one's own that ran no query over the rows as they are
+        counted.write.format("noop").mode("overwrite").save()
+        n = observed(rows_out)
+    status.counts(node.id, observed(rows_in) if rows_in is not None else None, n or 0, {label: n or 0 for label in labels})
     return counted
 
 

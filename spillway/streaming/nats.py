@@ -9,8 +9,8 @@ import json
 import socket
 import time
 from collections.abc import Callable, Iterable, Iterator
-from typing import Any
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
@@ -87,13 +87,17 @@ class Connection:
         self.socket.close()
 
 
-def publisher(subject: str, servers: str | list[str] | None) -> Callable[[Iterator[Any]], None]:
-    def publish(rows: Iterator[Any]) -> None:
-        connection = Connection(servers)
+def publisher(subject: str, servers: str | list[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        connection = None
         try:
-            connection.publish(subject, (r["value"].encode() for r in rows))
+            for b in batches:
+                connection = connection or Connection(servers)
+                connection.publish(subject, (x.as_py().encode() for x in b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
         finally:
-            connection.close()
+            if connection:
+                connection.close()
 
     return publish
 
