@@ -44,9 +44,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies; rows without an id stay if their component has none, equal ones once."""
     docs = docs.select(*COLUMNS)
     found = simhash.dedup(docs)
-    kept = found.where(F.col("kept") | F.col("component_id").isNull()).select(F.col("doc_id").alias("id")).distinct()
+    kept = found.where(F.col("kept") | F.col("component_id").isNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
     kept = table(kept, "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")))
+    if kept.where("rows > 1").isEmpty():  # texts move once; only rows with one id are compared by text
+        return out.select(*COLUMNS)
+    return out.where("rows = 1").unionByName(out.where("rows > 1").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
