@@ -117,7 +117,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     def packed(text: pa.Array) -> pa.Array:
         return pa.array([features((x.as_py() or "").encode(), dim).astype("<f2").tobytes() for x in text], pa.binary())
 
-    rows = sample(docs, labels, label_col, max_rows).select("label", packed("text").alias("x")).collect()
+    rows = sample(docs, labels, label_col, max_rows).select("doc_id", "label", packed("text").alias("x")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])  # the same sums at every run
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(-1, dim)
     return fit(x, np.array([r["label"] for r in rows], int))
 
