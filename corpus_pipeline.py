@@ -41,15 +41,23 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies; rows without an id stay if their component has none, equal ones once."""
+    """One document of each component of near copies: that with the smallest id.
+
+    The rows that go, fewer than those that stay, are named by id, so texts move only where that list is too long for the
+    planner's broadcast limit. Rows with one id and text stay once; rows without an id are compared by text alone.
+    """
     docs = docs.select(*COLUMNS)
     found = simhash.dedup(docs)
-    kept = found.where(F.col("kept") | F.col("component_id").isNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    kept = table(kept, "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")))
-    if kept.where("rows > 1").isEmpty():  # texts move once; only rows with one id are compared by text
-        return out.select(*COLUMNS)
-    return out.where("rows = 1").unionByName(out.where("rows > 1").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    ids = table(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "ids")
+    gone = ids.where("not kept and doc_id is not null").select("doc_id")
+    out = docs.where("doc_id is not null").join(table(gone, "gone"), "doc_id", "left_anti")
+    repeated = ids.where("kept and rows > 1").select("doc_id")
+    if not repeated.isEmpty():
+        again = table(repeated, "repeated")
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not ids.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return out.select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
