@@ -33,7 +33,11 @@ FEATURES = {
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
+
+    Known fault: a filter or count right on top of this makes Catalyst copy the nested expressions into each other, which doesn't
+    end. Write the result as a table first, as ``learn`` does.
+    """
     names = df.columns
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^")))
