@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm import line_dedup, packing, quality, simhash, toxicity
+from spillway.llm import line_dedup, near_copies, packing, quality, toxicity
 from spillway.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,13 +41,15 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id.
+    """One document of each component of near copies (five-word similarity of 0.8 or more): that with the smallest id.
 
     The rows that go, fewer than those that stay, are named by id, so texts move only where that list is too long for the
     planner's broadcast limit. Rows with one id and text stay once; rows without an id are compared by text alone.
     """
     docs = docs.select(*COLUMNS)
-    found = simhash.dedup(docs)
+    found = table(near_copies.dedup(docs), "near-copies")
+    first = table(found.groupBy("component").agg(F.min("doc_id").alias("first")), "first-ids")
+    found = found.join(first, "component").select("doc_id", (F.col("doc_id") == F.col("first")).alias("kept"))
     ids = table(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "ids")
     gone = ids.where("not kept and doc_id is not null").select("doc_id")
     out = docs.where("doc_id is not null").join(table(gone, "gone"), "doc_id", "left_anti")
