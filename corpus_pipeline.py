@@ -41,24 +41,28 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word similarity of 0.8 or more): that with the smallest id.
+    """One row of each component of near copies (five-word similarity of 0.8 or more): that with the smallest id.
 
-    The rows that go, fewer than those that stay, are named by id, so texts move only where that list is too long for the
-    planner's broadcast limit. Rows with one id and text stay once; rows without an id are compared by text alone.
+    Rows without an id come last, and of several texts with one id any but always the same one is taken. The ids that go, fewer
+    than those that stay, are named, so texts move only where that list is too long for the planner's broadcast limit; text keys are needed only for ids
+    of which a part goes, and for rows without one.
     """
     docs = docs.select(*COLUMNS)
-    found = table(near_copies.dedup(docs), "near-copies")
-    first = table(found.groupBy("component").agg(F.min("doc_id").alias("first")), "first-ids")
-    found = found.join(first, "component").select("doc_id", (F.col("doc_id") == F.col("first")).alias("kept"))
-    ids = table(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "ids")
-    gone = ids.where("not kept and doc_id is not null").select("doc_id")
-    out = docs.where("doc_id is not null").join(table(gone, "gone"), "doc_id", "left_anti")
-    repeated = ids.where("kept and rows > 1").select("doc_id")
+    key, place = ["no_id", "id", "h1", "h2"], {"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))}
+    found = table(near_copies.dedup(docs).withColumns(place).select("component", *key), "near-copies")
+    first = table(found.groupBy("component").agg(F.min(F.struct(*key)).alias("first")), "first-rows")
+    rows = found.groupBy("component", *key).agg(F.count(F.lit(1)).alias("rows"))
+    rows = table(rows.join(first, "component").select(*key, (F.struct(*key) == F.col("first")).alias("kept"), "rows"), "rows")
+    ids = table(rows.groupBy("no_id", "id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")), "ids")
+    gone = table(ids.where("not no_id and not some").select(F.col("id").alias("doc_id")), "gone")
+    out = docs.join(gone, "doc_id", "left_anti").withColumns(near_copies.text_keys() | place)
+    parted = ids.where("not all and (no_id or some)").select("no_id", "id")
+    if not parted.isEmpty():
+        out = out.join(table(rows.where("not kept").join(parted, ["no_id", "id"], "left_semi").select(*key), "gone-rows"), key, "left_anti")
+    repeated = rows.where("kept and rows > 1").select(*key)
     if not repeated.isEmpty():
         again = table(repeated, "repeated")
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    if not ids.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates(key))
     return out.select(*COLUMNS)
 
 

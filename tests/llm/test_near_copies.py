@@ -76,3 +76,14 @@ def test_stage_over_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     out = corpus_pipeline.distinct(spark, docs, "unused")
     assert {r["doc_id"] for r in out.collect()} == {min(rows[i][0] for i in x) for x in plain_components(rows)}
+
+
+def test_stage_decides_by_row(spark):
+    long = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    near = [x.replace(f"{c}39", "end") for c, x in zip("abcd", long)]
+    rows = [(1, long[0]), (5, near[0]), (5, long[1]), (None, long[0]), (None, near[1]), (None, long[2]), (None, near[2]), (None, long[3]), (None, long[3])]
+    out = corpus_pipeline.distinct(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA), "unused")
+    have = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(have) == 4 and have.count((None, long[3])) == 1
+    assert {x for x in have if x[0] is not None} == {(1, long[0]), (5, long[1])}
+    assert len([x for x in have if x in ((None, long[2]), (None, near[2]))]) == 1
