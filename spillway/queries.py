@@ -189,7 +189,7 @@ round_trip("ndjson_round_trip", "customer", "SELECT c_custkey, c_name, c_nationk
 round_trip("ndjson_gzip_round_trip", "nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation", {"kind": "ndjson-file", "url": "HOME/a.ndjson.gz"}, {"kind": "ndjson-file", "url": "HOME/a.ndjson.gz"})
 round_trip("json_round_trip", "nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation", {"kind": "json-file", "url": "HOME/a.json", "pretty": True}, {"kind": "json-file", "url": "HOME/a.json"})
 round_trip("csv_round_trip", "customer", "SELECT c_custkey::VARCHAR AS c_custkey, c_name || ', \"x\"' AS c_name, '' AS nothing FROM customer", {"kind": "csv-file", "url": "HOME/a.csv", "cols": ["c_custkey", "c_name", "nothing"]}, {"kind": "csv-file", "url": "HOME/a.csv"}, first=(x(c_custkey="c_custkey", c_name="concat(c_name, ', \"x\"')"),))
-round_trip("csv_folder_typed", "customer", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer", {"kind": "parquet", "url": "HOME/p"}, {"kind": "parquet", "url": "HOME/p"}, typed(("c_custkey", "core_long"), ("c_nationkey", "core_long")))
+round_trip("csv_folder_typed", "customer", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer", {"kind": "csv-file", "url": "HOME/c/", "cols": ["c_custkey", "c_nationkey"]}, {"kind": "csv-file", "url": "HOME/c/"}, typed(("c_custkey", "core_long"), ("c_nationkey", "core_long")), first=({"kind": "jvssql", "sql": "SELECT /*+ REPARTITION(3) */ c_custkey, c_nationkey FROM input"},))
 round_trip("kv_round_trip", "orders", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", {"kind": "kvstore", "name": "k", "keyExpr": "o_custkey"}, {"kind": "kvstore", "name": "k"}, first=({"kind": "jvssql", "sql": "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM input GROUP BY 1"},))
 round_trip("index_search", "part", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_brand), '#'), 'brand') AND p_size = 7", {"kind": "lucene", "name": "i"}, {"kind": "lucene", "name": "i", "query": "+p_brand:brand +p_size:7"}, p("p_partkey"))
 

@@ -72,17 +72,20 @@ def json_array(context: Any, args: Mapping[str, Any]) -> DataFrame:
 
 
 def csv(context: Any, args: Mapping[str, Any]) -> DataFrame:
-    """Header and texts. An empty cell is an empty text, a cell that a short row lacks is null, one too many is dropped; quotes hold commas, doubled ones stand for one."""
-    lines = _lines(context.spark, args["url"])
-    head = lines.first()
+    """Header and texts; each file of a folder has a header line, the first one's names hold for all. An empty cell is an empty text, a cell that a short row lacks is null, one too many is dropped; quotes hold commas, doubled ones stand for one."""
+    place_in_file = F.struct(F.col("_metadata.file_block_start").alias("block"), F.col(ORDER).alias("row"))
+    lines = _lines(context.spark, args["url"]).select("value", ORDER, F.col("_metadata.file_path").alias("__file"), place_in_file.alias("__at"))
+    heads = lines.groupBy("__file").agg(F.min("__at").alias("__at"), F.min_by("value", "__at").alias("value"))
+    head = heads.orderBy("__file").first()
     if head is None:
         return ordered(context.spark.createDataFrame([], T.StructType([])))
     closed = F.when((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1, F.concat("value", F.lit('",'))).otherwise(F.concat("value", F.lit(",")))
     plain = lambda c: F.replace(F.regexp_replace(c, '"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))
-    cells = lines.select(ORDER, F.transform(F.regexp_extract_all(closed, F.lit(CSV_CELL), 1), plain).alias("cells"))
-    names = cells.where(F.col(ORDER) == head[ORDER]).first()["cells"]
+    cells = F.transform(F.regexp_extract_all(closed, F.lit(CSV_CELL), 1), plain).alias("cells")
+    names = context.spark.createDataFrame([(head["value"],)], "value string").select(cells).first()["cells"]
     last = {name: i for i, name in enumerate(names)}
-    return cells.where(F.col(ORDER) != head[ORDER]).select(*(F.get("cells", i).alias(name) for name, i in last.items()), ORDER)
+    rows = lines.join(heads.select("__file", "__at"), ["__file", "__at"], "left_anti").select(ORDER, cells)
+    return rows.select(*(F.get("cells", i).alias(name) for name, i in last.items()), ORDER)
 
 
 def inline(context: Any, args: Mapping[str, Any]) -> DataFrame:

@@ -289,3 +289,12 @@ def test_kafka_says_what_is_missing(spark, tmp_path):
         one(spark, {"kind": "kafka", "bootstrap": "h", "topic": "t"})
     with pytest.raises(RuntimeError, match="connector"):
         one(spark, {"kind": "kafka", "bootstrap": "h", "topic": "t", "groupId": "g"})
+
+
+def test_csv_folder_of_several_parts(spark, tmp_path):
+    from spillway.sinks import write
+
+    write.csv(spark.range(20).repartition(4).selectExpr("id AS a", "concat('x, ', id) AS b"), {"url": f"{tmp_path}/c/", "cols": ["a", "b"]}, None)
+    assert len(list((tmp_path / "c").glob("part-*"))) > 1
+    rows = one(spark, {"kind": "csv-file", "url": f"{tmp_path}/c/"})
+    assert sorted((int(r["a"]), r["b"]) for r in rows) == [(i, f"x, {i}") for i in range(20)]
