@@ -25,7 +25,7 @@ def aggregate(agg: Aggregate, schema: T.StructType, streaming: bool = False) ->
     if agg.kind == "MAX":
         return F.coalesce(F.max(number), F.lit(0.0))
     if agg.kind == "DISTINCT_COUNT":
-        return F.approx_count_distinct(value.text()) if streaming else F.count_distinct(value.text())
+        return F.size(F.collect_set(value.text())).cast("long") if streaming else F.count_distinct(value.text())
     if agg.kind == "FIRST":
         return F.first(value.column, True) if streaming else F.min_by(value.column, F.when(~value.null(), order))
     if agg.kind == "LAST":

@@ -298,3 +298,11 @@ def test_csv_folder_of_several_parts(spark, tmp_path):
     assert len(list((tmp_path / "c").glob("part-*"))) > 1
     rows = one(spark, {"kind": "csv-file", "url": f"{tmp_path}/c/"})
     assert sorted((int(r["a"]), r["b"]) for r in rows) == [(i, f"x, {i}") for i in range(20)]
+
+
+def test_distinct_count_of_a_stream_is_exact(spark, tmp_path):
+    spark.range(9000).selectExpr("id % 3 AS g", "id div 6 AS v").write.json(f"{tmp_path}/in")
+    text = f"job: s\nnodes: [{{id: a, pipeline: {{source: {{kind: file-stream, url: '{tmp_path}/in', schema: 'g long, v long'}}, reduce: {{group-by: [g], aggs: [{{name: n, kind: DISTINCT_COUNT, of: v}}]}}}}}}]"
+    run = Engine(spark, tmp_path / "home").run(text)
+    assert run.status.state == "SUCCEEDED", run.status.error
+    assert [r["n"] for r in run.table("a").collect()] == [1500] * 3
