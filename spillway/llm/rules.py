@@ -12,6 +12,7 @@ rule alone decides; null ids and repeated rows pass; an empty table gives an emp
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,39 +33,56 @@ FEATURES = {
 }
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: inside, it is a lambda's variable, so no rule of Catalyst can copy its expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _covered(windows: Column) -> Column:
+    """The number of words in windows that occur twice or more."""
+
+    def by_place(s: Column) -> Column:
+        same = lambda x, k: x["h"].eqNullSafe(F.get(s, k)["h"])
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+
+    def words(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1), x + WINDOW) - x)), F.lit(0), lambda a, b: a + b)
+
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(placed, lambda s: _let(by_place(s), words))).otherwise(F.lit(0))
+
+
+def _statistics(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^")))
+    hashed = F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        # A window's hash is that of its words' hashes, so that a word is hashed once.
+        windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(n.alias("n"), _let(windows, _covered).alias("again"))
+
+    def whole(found: Column) -> Column:
+        return F.struct(
+            found["n"].cast("long").alias("n_words"),
+            F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            found["again"].cast("long").alias("n_repeat_words"),
+        )
+
+    return _let(_let(hashed, of_words), whole)
+
+
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
+    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, in place of columns of these names.
 
-    Known fault: a filter or count right on top of this makes Catalyst copy the nested expressions into each other, which doesn't
-    end. Write the result as a table first, as ``learn`` does.
+    The numbers of a row come out of a generator as one row: they are made once, whatever is filtered or counted on top.
     """
-    names = df.columns
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^")))
-    out = df.withColumn("__words", F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), lambda w: F.xxhash64(w))).withColumn("__lines", lines)
-    # A window's hash is that of its words' hashes, so that a word is hashed once.
-    window = F.when(
-        F.size("__words") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("__words") - WINDOW), lambda i: F.xxhash64(*(F.get("__words", i + k) for k in range(WINDOW)))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("__windows", window)
-    twice = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("__sorted", F.when(twice, placed).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
-    same = lambda s, k: s["h"].eqNullSafe(F.get("__sorted", k)["h"])
-    found = F.transform(F.filter("__sorted", lambda s, k: same(s, k - 1) | same(s, k + 1)), lambda s: s["i"])
-    out = out.withColumn("__at", F.sort_array(found))
-    covered = F.aggregate(F.transform("__at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__at", k + 1), x + WINDOW) - x)), F.lit(0), lambda a, b: a + b)
-    kept = [F.col(f"`{c}`") for c in names if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    out = out.select(
-        *kept,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        # Never false, but not deterministic: Catalyst would push a filter down by copying these nested expressions into each other.
-        F.when(F.rand(0) < 2, covered).cast("long").alias("n_repeat_words"),
-    )
+    out = df.select(*kept, F.inline(F.array(_statistics(text))))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
