@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,7 +187,7 @@ def group_key(name: str, schema: T.StructType) -> Column:
 
 
 def ordered(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """``df`` with the hidden order column, unless it has one. Unused, it costs nothing: Catalyst prunes it."""
+    """``df`` with the hidden order column, unless it has one."""
     if ORDER in df.columns or df.isStreaming:
         return df
     return df.withColumn(ORDER, F.monotonically_increasing_id() if order is None else order)
@@ -203,15 +203,11 @@ SEQUENCE = "__seq"
 
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with the numbers from 1 in SEQUENCE: each partition's rows are counted first, so that nothing is sorted or gathered."""
-    marked = df.withColumn("__id", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in marked.groupBy(F.shiftright("__id", 33).alias("p")).count().collect()}
-    before, offsets = 0, {}
-    for p in sorted(counts):
-        before, offsets[p] = before + counts[p], before
-    if not offsets:
-        return df.withColumn(SEQUENCE, F.lit(0).cast("long"))
-    known = F.create_map(*(F.lit(x).cast("long") for kv in offsets.items() for x in kv))
-    return marked.withColumn(SEQUENCE, F.get(F.map_values(F.map_filter(known, lambda k, _: k == F.shiftright("__id", 33))), 0) + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).drop("__id")
+    marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
+    counts = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition: small enough for one window, and to broadcast
+    before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = marked.join(F.broadcast(before), "__p")
+    return placed.withColumn(SEQUENCE, F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).drop("__id", "__p", "__before")
 
 
 # Generators for expr-map, by name; arguments are SQL expressions.

@@ -10,6 +10,10 @@ from spillway.functions.semantics import ORDER, group_key, ordered, top_level
 from spillway.plans.spec import Aggregate, Reduce
 
 
+#: Aggregates that ask in which order rows were met.
+ORDERED = ("FIRST", "LAST", "COLLECT")
+
+
 def aggregate(agg: Aggregate, schema: T.StructType, streaming: bool = False) -> Column:
     value = top_level(agg.of or "", schema)
     number = value.number()
@@ -40,23 +44,19 @@ def aggregate(agg: Aggregate, schema: T.StructType, streaming: bool = False) ->
 
 
 def reduce(df: DataFrame, spec: Reduce) -> DataFrame:
-    """Keys are texts; groups are ordered as they were first met; without keys and rows there is no row.
+    """Keys are texts; groups keep the place where they were first met, if rows have places; without keys and rows there is no row.
 
-    ``shuffle`` and ``buckets`` say how many partitions the groups are dealt to. They change no result: rows are combined
-    before they are dealt, so a hot key is no hot task.
+    ``shuffle`` and ``buckets`` change no result and nothing here: Spark combines rows before it deals them, so a hot key is no hot task,
+    and sizes the partitions itself.
     """
     streaming = df.isStreaming
-    df = ordered(df)
+    if any(a.kind in ORDERED for a in spec.aggs):
+        df = ordered(df)
     keys = {k: group_key(k, df.schema).alias(k) for k in spec.group_by}
     made = {a.name: aggregate(a, df.schema, streaming).alias(a.name) for a in spec.aggs}
-    order = [] if streaming else [F.min(ORDER).alias(ORDER)]
-    grouped = df.groupBy(*(keys.values() or [F.lit(0).alias("__all")]))
-    out = grouped.agg(*(made.values() or [F.count(F.lit(1)).alias("__n")]), *order)
-    names = [*(k for k in spec.group_by if k not in made), *made]
+    order = [F.min(ORDER).alias(ORDER)] if ORDER in df.columns and not streaming else []
     # An aggregate named like a key stands in its place.
-    if set(made) & set(keys):
-        taken = [k for k in keys if k in made]
-        grouped = df.groupBy(*(c.alias(f"__k_{k}") if k in taken else c for k, c in keys.items()))
-        out = grouped.agg(*made.values(), *order)
-    out = out.select(*(F.col(f"`{c}`") for c in names), *([] if streaming else [ORDER]))
-    return out.repartition(spec.buckets, *(F.col(f"`{k}`") for k in spec.group_by)) if spec.shuffle and spec.group_by and not streaming and not set(made) & set(keys) else out
+    named = [c.alias(f"__k_{k}") if k in made else c for k, c in keys.items()]
+    out = df.groupBy(*(named or [F.lit(0).alias("__all")])).agg(*(made.values() or [F.count(F.lit(1)).alias("__n")]), *order)
+    names = [*(k for k in spec.group_by if k not in made), *made]
+    return out.select(*(F.col(f"`{c}`") for c in names), *([ORDER] if order else []))

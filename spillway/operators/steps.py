@@ -44,16 +44,26 @@ def rename(df: DataFrame, args: Mapping[str, Any], context: Any) -> DataFrame:
 
 
 def literal(spark: SparkSession, value: Any) -> Column:
-    """A constant of any JSON type, typed as Spark would infer it."""
+    """A constant of any JSON type."""
     if isinstance(value, (Mapping, list, tuple)):
         import json
 
-        text = json.dumps(value)
-        kind = spark.range(1).select(F.schema_of_json(F.lit(text))).first()[0]
-        return F.from_json(F.lit(text), kind)
+        return F.from_json(F.lit(json.dumps(value)), json_type(value))
     return F.lit(value)
 
 
+def json_type(value: Any) -> T.DataType:
+    """The type of a JSON value; a list has the type that its items share, or is one of texts."""
+    if isinstance(value, Mapping):
+        return T.StructType([T.StructField(str(k), json_type(v)) for k, v in value.items()])
+    if isinstance(value, (list, tuple)):
+        kinds = [json_type(v) for v in value if v is not None]
+        if kinds and all(isinstance(k, (T.LongType, T.DoubleType)) for k in kinds):
+            return T.ArrayType(T.DoubleType() if any(isinstance(k, T.DoubleType) for k in kinds) else T.LongType())
+        return T.ArrayType(kinds[0] if kinds and all(k == kinds[0] for k in kinds) else T.StringType())
+    return T.BooleanType() if isinstance(value, bool) else T.LongType() if isinstance(value, int) else T.DoubleType() if isinstance(value, float) else T.StringType()
+
+
 def set_field(df: DataFrame, args: Mapping[str, Any], context: Any) -> DataFrame:
     return _with(df, {args["name"]: literal(df.sparkSession, args["value"])})
 
@@ -185,20 +195,16 @@ def sql_step(df: DataFrame, args: Mapping[str, Any], context: Any) -> DataFrame:
     return ordered(context.sql(args["sql"], {"input": visible(df)}))
 
 
-def plugged_only(df: DataFrame, args: Mapping[str, Any], context: Any) -> DataFrame:
-    raise ValueError("this step needs a plug-in: register_step(kind)")
-
-
 STEPS: dict[str, Callable[[DataFrame, Mapping[str, Any], Any], DataFrame]] = {
     "filter": apply_filter, "project": project, "rename": rename, "set-field": set_field, "to-typed": to_typed, "lookup": lookup, "expr-map": expr_map,
-    "groovy-map": function_map, "jvs-groovy": plugged_only, "jvs-enrich": plugged_only, "jvs-translate": plugged_only, "jvssql": sql_step,
+    "groovy-map": function_map, "jvssql": sql_step,
 }
 
 
 def apply_step(df: DataFrame, step: Part, context: Any) -> DataFrame:
-    function = plugins.STEPS.get(step.kind) or STEPS.get(step.kind)
+    from spillway.operators import typed
+
+    function = plugins.STEPS.get(step.kind) or STEPS.get(step.kind) or typed.STEPS.get(step.kind)
     if function is None:
         raise ValueError(f"unknown step kind '{step.kind}'")
-    if function is plugged_only:
-        raise ValueError(f"step '{step.kind}' needs a plug-in: register_step('{step.kind}')")
     return function(df, step.args, context)

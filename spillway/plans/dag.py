@@ -7,7 +7,6 @@ import threading
 import time
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,11 +14,12 @@ from pyspark.sql import functions as F
 
 from spillway import plugins
 from spillway.functions.semantics import visible
-from spillway.operators.reduce import reduce
+from spillway.operators.reduce import ORDERED, reduce
 from spillway.operators.steps import apply_step
 from spillway.plans.spec import Job, Node
 from spillway.sinks.write import LAZY, writer
 from spillway.sources.read import open_source
+from spillway.sources.stores import whole_path
 
 
 class GraphError(ValueError):
@@ -55,15 +55,41 @@ def refs(node: Node) -> set[str]:
     return out
 
 
+def makers_of(job: Job) -> dict[str, set[str]]:
+    """Which nodes make a table: that of the node's own name, and its memory tables."""
+    out: dict[str, set[str]] = {}
+    for n in job.nodes:
+        for name in (n.id, *(str(s["name"]) for s in n.sinks if s.kind == "memory-table")):
+            out.setdefault(name, set()).add(n.id)
+    return out
+
+
+def order_needed(job: Job) -> set[str]:
+    """Nodes whose rows need the hidden order column: for the first or last of a group, a list, the first match of a lookup, the last row of a key.
+
+    Elsewhere it is left out, so that no scan has to make it. Parts of one's own get it, since they may read it.
+    """
+    makers, by_id = makers_of(job), {n.id: n for n in job.nodes}
+    needed: set[str] = set()
+    for n in job.nodes:
+        plugged = n.source.kind in plugins.SOURCES or any(s.kind in plugins.STEPS for s in n.steps) or any(s.kind in plugins.SINKS for s in n.sinks)
+        if plugged or any(s.kind == "kvstore" for s in n.sinks) or (n.reduce and any(a.kind in ORDERED for a in n.reduce.aggs)):
+            needed.add(n.id)
+        for s in n.steps:
+            if s.kind == "lookup":
+                needed |= makers.get(str(s["from"]), set())
+    stack = list(needed)
+    while stack:
+        source = by_id[stack.pop()].source
+        more = (makers.get(str(source["node"]), set()) if source.kind == "ref" else set()) - needed
+        needed |= more
+        stack += more
+    return needed
+
+
 def check_refs(job: Job) -> None:
     """A node that another one reads must come before it by ``depends``: else it might not be there yet."""
-    by_id = {n.id: n for n in job.nodes}
-    makers: dict[str, set[str]] = {}
-    for n in job.nodes:
-        makers.setdefault(n.id, set()).add(n.id)
-        for s in n.sinks:
-            if s.kind == "memory-table":
-                makers.setdefault(str(s["name"]), set()).add(n.id)
+    by_id, makers = {n.id: n for n in job.nodes}, makers_of(job)
 
     def before(n: Node) -> set[str]:
         seen: set[str] = set()
@@ -88,9 +114,10 @@ class Context:
     """Tables and places of one run."""
 
     def __init__(self, spark: SparkSession, home: str | None = None, views: Mapping[str, DataFrame] | None = None):
-        self.spark, self.tables, self._home = spark, dict(views or {}), (home or str(Path("spillway-home").resolve())).rstrip("/")
+        self.spark, self.tables, self._home = spark, dict(views or {}), whole_path(home or "spillway-home")
         self.lock = threading.Lock()
         self.registered: list[str] = []
+        self.ordered: set[str] = set()
 
     def home(self, name: str) -> str:
         return f"{self._home}/{name}"
@@ -134,7 +161,7 @@ _sql_lock = threading.Lock()
 
 def node_frame(node: Node, context: Context, rows_in: Observation | None = None) -> DataFrame:
     """A node's rows, lazily."""
-    df = open_source(context, node.source)
+    df = open_source(context, node.source, node.id in context.ordered)
     if rows_in is not None:
         df = df.observe(rows_in, F.count(F.lit(1)).alias("n"))
     for step in node.steps:
@@ -148,6 +175,7 @@ def compile_job(job: Job, spark: SparkSession, home: str | None = None, views: M
     """Every node as a lazy DataFrame, nothing run: Catalyst sees through the edges of the graph."""
     context = Context(spark, home, views)
     check_refs(job)
+    context.ordered = order_needed(job)
     out = {}
     for rank in ranks(job):
         for node in rank:
@@ -217,6 +245,7 @@ def run_job(job: Job, spark: SparkSession, status, cancelled: threading.Event, h
     context = Context(spark, home, views)
     context.kept = []
     check_refs(job)
+    context.ordered = order_needed(job)
     readers = {n.id: sum(n.id in refs(m) or bool({str(s["name"]) for s in n.sinks if s.kind == "memory-table"} & refs(m)) for m in job.nodes) for n in job.nodes}
     try:
         for k, rank in enumerate(ranks(job)):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spillway.functions.semantics import visible
 from spillway.plans import dag, spec
+from spillway.sources.stores import TextFile, is_url, names_in, whole_path
 
 STATES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED")
 EXAMPLES = Path(__file__).resolve().parent.parent / "examples"
@@ -84,26 +85,27 @@ class JobStatus:
 class History:
     """Finished jobs, a line of JSON each; what can't be read is left out."""
 
-    def __init__(self, path: str | os.PathLike[str]):
-        self.path, self.lock = Path(path), threading.Lock()
+    def __init__(self, path: str | os.PathLike[str], spark: SparkSession | None = None):
+        self.file, self.lock, self.path = TextFile(str(path), spark), threading.Lock(), Path(path)
 
     def append(self, snapshot: Mapping[str, Any]) -> None:
+        line = json.dumps(snapshot) + "\n"
         try:
             with self.lock:
-                self.path.parent.mkdir(parents=True, exist_ok=True)
-                with self.path.open("a") as f:
-                    f.write(json.dumps(snapshot) + "\n")
+                if is_url(self.file.path):
+                    self.file.write((self.file.read() or "") + line)
+                    return
+                path = Path(self.file.path)
+                path.parent.mkdir(parents=True, exist_ok=True)
+                with path.open("a") as f:
+                    f.write(line)
         except OSError:
             return  # history is best effort: a full disk must not fail a job that is done
 
     def tail(self, limit: int = 200) -> list[dict[str, Any]]:
         """The newest first."""
-        try:
-            lines = self.path.read_text().splitlines()
-        except OSError:
-            return []
         out: list[dict[str, Any]] = []
-        for line in reversed(lines):
+        for line in reversed((self.file.read() or "").splitlines()):
             if len(out) >= limit:
                 break
             try:
@@ -149,31 +151,25 @@ class Registry:
 class Restartable:
     """Texts of running restartable jobs in one file, replaced as a whole; a file that can't be read is empty."""
 
-    def __init__(self, path: str | os.PathLike[str]):
-        self.path, self.lock = Path(path), threading.Lock()
+    def __init__(self, path: str | os.PathLike[str], spark: SparkSession | None = None):
+        self.file, self.lock, self.path = TextFile(str(path), spark), threading.Lock(), Path(path)
 
     def all(self) -> dict[str, dict[str, str]]:
         try:
-            held = json.loads(self.path.read_text())
-        except (OSError, ValueError):
+            held = json.loads(self.file.read() or "{}")
+        except ValueError:
             return {}
         return {k: v for k, v in held.items() if isinstance(v, dict) and isinstance(v.get("text"), str)} if isinstance(held, dict) else {}
 
-    def _save(self, held: Mapping[str, Any]) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        fresh = self.path.with_suffix(f".{uuid.uuid4().hex}")
-        fresh.write_text(json.dumps(held))
-        fresh.replace(self.path)
-
     def put(self, job_id: str, text: str) -> None:
         with self.lock:
-            self._save(self.all() | {job_id: {"text": text}})
+            self.file.write(json.dumps(self.all() | {job_id: {"text": text}}))
 
     def remove(self, job_id: str) -> None:
         with self.lock:
             held = self.all()
             if held.pop(job_id, None):
-                self._save(held)
+                self.file.write(json.dumps(held))
 
 
 @dataclass
@@ -189,16 +185,16 @@ class Run:
 
 
 class Engine:
-    """Runs jobs and knows what became of them.
+    """Runs jobs and knows what became of them. ``home`` is a folder that driver and executors share: a path, or a URL that Spark reads.
 
     ``count_rows_in`` counts what sources give; counting there keeps filters from reaching the scan, so it is off.
     """
 
     def __init__(self, spark: SparkSession, home: str | os.PathLike[str] = "spillway-home", capacity: int = 64, count_rows_in: bool = False):
-        self.spark, self.home, self.count_rows_in = spark, str(Path(home).resolve()), count_rows_in
-        self.history = History(Path(self.home) / "history.ndjson")
+        self.spark, self.home, self.count_rows_in = spark, whole_path(str(home)), count_rows_in
+        self.history = History(f"{self.home}/history.ndjson", spark)
         self.registry = Registry(capacity, self.history)
-        self.restartable = Restartable(Path(self.home) / "restartable.json")
+        self.restartable = Restartable(f"{self.home}/restartable.json", spark)
         self.runs: dict[str, Run] = {}
 
     def submit(self, job: spec.Job | str, job_id: str | None = None, views: Mapping[str, DataFrame] | None = None, wait: bool = False) -> Run:
@@ -289,8 +285,5 @@ class Engine:
 
     def places(self) -> dict[str, str]:
         """Where named sinks lie: one shared home, whatever machine asks."""
-        out = {}
-        for kind, folder in (("kvstore", "kv"), ("lucene", "index")):
-            base = Path(self.home) / folder
-            out |= {f"{kind}:{p.name}": str(p) for p in sorted(base.glob("*")) if p.is_dir() and ".new-" not in p.name}
-        return out
+        folders = (("kvstore", "kv"), ("lucene", "index"))
+        return {f"{kind}:{name}": f"{self.home}/{folder}/{name}" for kind, folder in folders for name in names_in(self.spark, f"{self.home}/{folder}")}

@@ -11,8 +11,8 @@ import yaml
 
 #: The names that a job may use, with their fields and defaults (... marks a field that must be given).
 SOURCES: dict[str, dict[str, Any]] = {
-    "ndjson-file": {"url": ...},
-    "json-file": {"url": ...},
+    "ndjson-file": {"url": ..., "schema": None},
+    "json-file": {"url": ..., "schema": None},
     "csv-file": {"url": ...},
     "inline": {"rows": ...},
     "ref": {"node": ...},
@@ -23,7 +23,7 @@ SOURCES: dict[str, dict[str, Any]] = {
     "nats": {"subject": ..., "servers": None, "schema": None},
     "kafka": {"bootstrap": ..., "topic": ..., "groupId": None, "schema": None},
     "parquet": {"url": ..., "order": None},
-    "file-stream": {"url": ..., "schema": ..., "format": "json"},
+    "file-stream": {"url": ..., "schema": ..., "format": "json", "maxFilesPerTrigger": None},
 }
 STEPS: dict[str, dict[str, Any]] = {
     "filter": {"expr": ...},

@@ -15,6 +15,9 @@ SINKS: dict[str, Callable[..., Any]] = {}
 DECORATORS: list[Callable[..., Any]] = []
 #: Python functions that a groovy-map step may name: rows as dicts in, a dict or None out.
 FUNCTIONS: dict[str, Callable[[dict], dict | None]] = {}
+#: Tag -> (field, function of a Column of one text) of jvs-enrich; model -> function (texts, source, target) of jvs-translate.
+ENRICHERS: dict[str, tuple[str, Callable[..., Any]]] = {}
+TRANSLATORS: dict[str, Callable[..., Any]] = {}
 
 
 def _register(what: str, held: dict[str, Callable[..., Any]], kind: str) -> Callable[[Callable[..., Any]], Callable[..., Any]]:
@@ -52,3 +55,23 @@ def register_function(name: str) -> Callable[..., Any]:
         return f
 
     return put
+
+
+def register_enricher(tag: str, field: str) -> Callable[..., Any]:
+    """The function gets a Column of one text and returns the Column that ``field`` takes."""
+
+    def put(f: Callable[..., Any]) -> Callable[..., Any]:
+        ENRICHERS[tag] = field, f
+        return f
+
+    return put
+
+
+def register_translator(model: str) -> Callable[..., Any]:
+    """The function gets (texts, source language or None, target language) and returns as many texts."""
+
+    def put(f: Callable[..., Any]) -> Callable[..., Any]:
+        TRANSLATORS[model] = f
+        return f
+
+    return put

@@ -11,16 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spillway import plugins
-from spillway.functions.semantics import ORDER, split_path, visible
+from spillway.functions.semantics import NUMERIC, ORDER, split_path, visible
 from spillway.plans.spec import Part
 from spillway.sources.read import place
-
-
-def _files(df: DataFrame, path: str):
-    jvm = df.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    return jvm, conf, where.getFileSystem(conf), where
+from spillway.sources.stores import current, hadoop, publish, write_table
 
 
 def _one_file(df: DataFrame, url: str, write: Callable[[DataFrame, str], None], head: str = "", tail: str = "", between: str = "") -> None:
@@ -31,7 +25,7 @@ def _one_file(df: DataFrame, url: str, write: Callable[[DataFrame, str], None],
     path = place(url)
     beside = f"{path}.parts-{uuid.uuid4().hex}"
     write(df, beside)
-    jvm, conf, files, target = _files(df, path)
+    jvm, files, target = hadoop(df.sparkSession, path)
     parts = jvm.org.apache.hadoop.fs.Path(beside)
     whole = jvm.org.apache.hadoop.fs.Path(f"{beside}.whole")
     try:
@@ -87,43 +81,79 @@ def json_array(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
     _one_file(df.select(row.alias("value")), args["url"], lambda r, path: r.write.option("lineSep", ",\n").text(path), "[\n", "\n]\n", ",\n")
 
 
-def _swap(df: DataFrame, path: str) -> None:
-    """Replaces a table that ``df`` may read from."""
-    fresh = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm, _, files, target = _files(df, path)
-    files.delete(target, True)
-    files.mkdirs(target.getParent())
-    files.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
+def _alike(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with texts where a column's types differ so that Spark finds no common one."""
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+    odd = [f.name for f in old.schema.fields if f.name in kinds and f.dataType != kinds[f.name] and not (isinstance(f.dataType, NUMERIC) and isinstance(kinds[f.name], NUMERIC))]
+    texts = lambda df: df.withColumns({c: F.to_json(f"`{c}`") if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{c}`").cast("string") for c in odd}) if odd else df
+    return texts(old), texts(new)
 
 
 def kvstore(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
-    """The last row of each key wins; rows without a key are not kept. Rows go to one table, sorted by key, so that a key's range prunes."""
+    """The last row of each key wins, over earlier writes, too; rows without a key are not kept. The store is one table, sorted by key, so that a key's range prunes."""
+    spark, base = df.sparkSession, context.home(f"kv/{args['name']}")
     key = split_path(args["keyExpr"], df.schema).text()
     names = [c for c in df.columns if c != ORDER]
     order = F.col(ORDER) if ORDER in df.columns else F.monotonically_increasing_id()
     rows = df.select(key.alias("_key"), order.alias("__o"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")).where("_key is not null")
     last = rows.groupBy("_key").agg(F.max_by("__row", "__o").alias("__row")).select("_key", "__row.*")
-    _swap(last.sortWithinPartitions("_key"), context.home(f"kv/{args['name']}"))
+    if (found := current(spark, base)) is not None:
+        old, new = _alike(spark.read.parquet(found), last)
+        both = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)), allowMissingColumns=True)
+        cells = [F.col(f"`{c}`") for c in both.columns if c not in ("_key", "__new")]
+        last = both.groupBy("_key").agg(F.max_by(F.struct(*cells), "__new").alias("__row")).select("_key", "__row.*")
+    fresh = publish(spark, base, write_table(last.sortWithinPartitions("_key")))
     if args.get("registerAsTable"):
-        context.register(args["registerAsTable"], context.spark.read.parquet(context.home(f"kv/{args['name']}")).drop("_key"))
+        context.register(args["registerAsTable"], spark.read.parquet(fresh).drop("_key"))
+
+
+def is_mls(kind: T.DataType) -> bool:
+    """A text in several languages: a struct of ``mls``, a list of structs with a language and a text."""
+    inner = kind["mls"].dataType if isinstance(kind, T.StructType) and "mls" in kind.names else None
+    return isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType) and {"lang", "text"} <= set(inner.elementType.names)
 
 
-def index(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
-    """A term index: documents by number, and postings (term, field, doc, count) sorted by term."""
-    home = context.home(f"index/{args['name']}")
+def index(df: DataFrame, args: Mapping[str, Any], context: Any, by_language: bool = False) -> None:
+    """A term index: documents by number, and postings (term, field, doc, count) sorted by term. A write replaces the index."""
+    spark = df.sparkSession
     names = [c for c in df.columns if c != ORDER]
     numbered = df.select(F.monotonically_increasing_id().alias("doc"), *(F.col(f"`{c}`") for c in names))
-    _swap(numbered, f"{home}/all")
-    kept = context.spark.read.parquet(f"{home}/all")
-    cells = []
-    for f in kept.schema.fields:
-        if f.name != "doc":
-            text = F.to_json(f"`{f.name}`") if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`").cast("string")
-            cells.append(F.struct(F.lit(f.name).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), 0).alias("terms")))
-    terms = kept.select("doc", F.explode(F.array(*cells)).alias("c")).select("doc", "c.field", F.explode("c.terms").alias("term"))
-    _swap(terms.groupBy("term", "field", "doc").agg(F.count(F.lit(1)).alias("count")).sortWithinPartitions("term"), f"{home}/postings")
-    _swap(kept if args["storeSource"] else kept.select("doc", *[f"`{c}`" for c in names if c in ("id", "_id")]), f"{home}/documents")
+    terms_of = lambda text: F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), 0)
+
+    def language(f: T.StructField) -> Callable[[Any], Any]:
+        clean = "clean" in f.dataType["mls"].dataType.elementType.names
+
+        def one(x: Any) -> Any:
+            name = F.concat(F.lit(f"{f.name}."), F.coalesce(x["lang"], F.lit("und")))
+            return F.struct(name.alias("field"), terms_of(F.coalesce(x["clean"], x["text"]) if clean else x["text"]).alias("terms"))
+
+        return one
+
+    def write(home: str) -> None:
+        numbered.write.parquet(f"{home}/all")
+        kept = spark.read.parquet(f"{home}/all")
+        cells = []
+        for f in kept.schema.fields:
+            if f.name == "doc":
+                continue
+            column = F.col(f"`{f.name}`")
+            if by_language and is_mls(f.dataType):
+                cells.append(F.coalesce(F.transform(column["mls"], language(f)), F.array().cast("array<struct<field: string, terms: array<string>>>")))
+            else:
+                text = F.to_json(column) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else column.cast("string")
+                cells.append(F.array(F.struct(F.lit(f.name).alias("field"), terms_of(text).alias("terms"))))
+        terms = kept.select("doc", F.explode(F.concat(*cells)).alias("c")).select("doc", "c.field", F.explode("c.terms").alias("term"))
+        terms.groupBy("term", "field", "doc").agg(F.count(F.lit(1)).alias("count")).sortWithinPartitions("term").write.parquet(f"{home}/postings")
+        (kept if args["storeSource"] else kept.select("doc", *[f"`{c}`" for c in names if c in ("id", "_id")])).write.parquet(f"{home}/documents")
+        if by_language:
+            spark.createDataFrame([(visible(df).schema.json(),)], "value string").coalesce(1).write.text(f"{home}/types")
+
+    publish(spark, context.home(f"index/{args['name']}"), write)
+
+
+def typed_index(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
+    """A term index in which a text in several languages has a field for each, ``title.en``; the rows' types are kept beside it."""
+    index(df, args, context, by_language=True)
 
 
 def parquet(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
@@ -146,14 +176,12 @@ def nats(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
     df.select(body.alias("value")).mapInArrow(publisher(args["subject"], args.get("servers")), "n long").write.format("noop").mode("overwrite").save()
 
 
-def plugged_only(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
-    raise ValueError("this sink needs a plug-in: register_sink('jvs-lucene')")
-
-
+#: Sinks that hold one whole: a stream's rows get there when it ends, unless the URL is a folder of parts.
+WHOLE = ("ndjson-file", "csv-file", "json-file", "parquet", "lucene", "jvs-lucene")
 #: memory-table and counting are no writers: the run itself sees to them.
 LAZY = ("memory-table", "counting")
 SINKS: dict[str, Callable[[DataFrame, Mapping[str, Any], Any], None]] = {
-    "ndjson-file": ndjson, "csv-file": csv, "json-file": json_array, "kvstore": kvstore, "lucene": index, "jvs-lucene": plugged_only, "nats": nats, "kafka": kafka, "parquet": parquet,
+    "ndjson-file": ndjson, "csv-file": csv, "json-file": json_array, "kvstore": kvstore, "lucene": index, "jvs-lucene": typed_index, "nats": nats, "kafka": kafka, "parquet": parquet,
 }
 
 
@@ -161,6 +189,4 @@ def writer(sink: Part) -> Callable[[DataFrame, Mapping[str, Any], Any], None]:
     found = plugins.SINKS.get(sink.kind) or SINKS.get(sink.kind)
     if found is None:
         raise ValueError(f"unknown sink kind '{sink.kind}'")
-    if found is plugged_only:
-        raise ValueError(f"sink '{sink.kind}' needs a plug-in: register_sink('{sink.kind}')")
     return found

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spillway import plugins
-from spillway.functions.semantics import ORDER, ordered
+from spillway.functions.semantics import ORDER, ordered, visible
 from spillway.plans.spec import Part
+from spillway.sources.stores import current
 
 RESOURCES = Path(__file__).resolve().parent.parent / "examples"
 CSV_CELL = r'((?:[^",]++|"(?:[^"]++|"")*+")*+),'
@@ -30,37 +31,40 @@ def place(url: str) -> str:
     return f"file://{Path(url).expanduser().resolve()}"
 
 
+def _folder(url: str) -> dict[str, str]:
+    """A folder's files lie at any depth: a stream's batches have folders of their own."""
+    return {"recursiveFileLookup": str(url.endswith("/")).lower()}
+
+
 def _lines(spark: SparkSession, url: str) -> DataFrame:
-    rows = spark.read.text(place(url)).withColumn(ORDER, F.monotonically_increasing_id())
+    rows = spark.read.options(**_folder(url)).text(place(url)).withColumn(ORDER, F.monotonically_increasing_id())
     return rows.where(F.trim("value") != "")
 
 
-def mixed_fields(lines: DataFrame) -> list[str]:
-    """Top-level fields that hold values of several types."""
-    shape = lines.agg(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0] or ""
-    inner = shape.removeprefix("OBJECT<").removesuffix(">") if shape.startswith("OBJECT<") else ""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(f"{inner},"):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, _, kind = inner[start:i].strip().partition(": ")
-            if kind == "VARIANT":
-                out.append(name.strip("`"))
-            start = i + 1
-    return out
+def _shape(lines: DataFrame) -> T.StructType | None:
+    """The types of JSON objects, found in one pass; VARIANT where a field has values of several types. None unless all are objects."""
+    shape = lines.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0] or ""
+    if not shape.startswith("OBJECT<"):
+        return None
+    return T._parse_datatype_string(re.sub(r"\bOBJECT<", "STRUCT<", shape))
 
 
 def ndjson(context: Any, args: Mapping[str, Any]) -> DataFrame:
-    """Lines of JSON; blank lines are skipped, a malformed one fails. Fields of several types become VARIANT."""
-    spark, path = context.spark, place(args["url"])
-    plain = spark.read.option("mode", "FAILFAST").json(path)
-    lines = _lines(spark, args["url"])
-    mixed = mixed_fields(lines) if any(isinstance(f.dataType, T.StringType) for f in plain.schema.fields) else []
+    """Lines of JSON; blank lines are skipped, a malformed one fails. Without a ``schema`` (DDL) one pass over the lines finds the types; fields of several types become VARIANT."""
+    spark, url = context.spark, args["url"]
+    read = spark.read.options(mode="FAILFAST", **_folder(url))
+    if args.get("schema"):
+        return read.schema(args["schema"]).json(place(url))
+    lines = _lines(spark, url)
+    kinds = _shape(lines)
+    if kinds is None:
+        return read.json(place(url))
+    mixed = [f.name for f in kinds if isinstance(f.dataType, T.VariantType)]
+    typed = T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in kinds if f.name not in mixed])
     if not mixed:
-        return ordered(plain)
-    typed = T.StructType([f for f in plain.schema.fields if f.name not in mixed])
+        return read.schema(typed).json(place(url))
     rows = lines.select(F.from_json("value", typed, {"mode": "FAILFAST"}).alias("r"), F.parse_json("value").alias("v"), ORDER)
-    cells = [F.try_variant_get("v", f"$['{f.name}']", "variant").alias(f.name) if f.name in mixed else F.col("r").getField(f.name).alias(f.name) for f in plain.schema.fields]
+    cells = [F.try_variant_get("v", f"$['{f.name}']", "variant").alias(f.name) if f.name in mixed else F.col("r").getField(f.name).alias(f.name) for f in kinds]
     return rows.select(*cells, ORDER)
 
 
@@ -68,7 +72,8 @@ def json_array(context: Any, args: Mapping[str, Any]) -> DataFrame:
     head = _lines(context.spark, args["url"]).select(F.ltrim("value")).first()
     if head is None or not head[0].startswith("["):
         raise ValueError(f"expected a top-level array in {args['url']}")
-    return ordered(context.spark.read.option("multiLine", True).option("mode", "FAILFAST").json(place(args["url"])))
+    read = context.spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (read.schema(args["schema"]) if args.get("schema") else read).json(place(args["url"]))
 
 
 def csv(context: Any, args: Mapping[str, Any]) -> DataFrame:
@@ -78,7 +83,7 @@ def csv(context: Any, args: Mapping[str, Any]) -> DataFrame:
     heads = lines.groupBy("__file").agg(F.min("__at").alias("__at"), F.min_by("value", "__at").alias("value"))
     head = heads.orderBy("__file").first()
     if head is None:
-        return ordered(context.spark.createDataFrame([], T.StructType([])))
+        return context.spark.createDataFrame([], T.StructType([]))
     closed = F.when((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1, F.concat("value", F.lit('",'))).otherwise(F.concat("value", F.lit(",")))
     plain = lambda c: F.replace(F.regexp_replace(c, '"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))
     cells = F.transform(F.regexp_extract_all(closed, F.lit(CSV_CELL), 1), plain).alias("cells")
@@ -95,7 +100,7 @@ def inline(context: Any, args: Mapping[str, Any]) -> DataFrame:
     rows = [dict(r) for r in args["rows"]]
     spark: SparkSession = context.spark
     if not rows:
-        return ordered(spark.createDataFrame([], T.StructType([])))
+        return spark.createDataFrame([], T.StructType([]))
     names = list(dict.fromkeys(k for r in rows for k in r))
 
     def sort(v: Any) -> str:
@@ -104,8 +109,7 @@ def inline(context: Any, args: Mapping[str, Any]) -> DataFrame:
     mixed = {n for n in names if len({sort(r[n]) for r in rows if r.get(n) is not None}) > 1}
     text = [(i, json.dumps(r, default=str)) for i, r in enumerate(rows)]
     lines = spark.createDataFrame(text, f"{ORDER} long, value string")
-    shape = lines.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
-    kinds = T._parse_datatype_string(re.sub(r"\bOBJECT<", "STRUCT<", shape)) if shape.startswith("OBJECT<") else T.StructType([])
+    kinds = _shape(lines) or T.StructType([])
     typed = T.StructType([T.StructField(n, _plain(kinds[n].dataType)) for n in names if n not in mixed and n in kinds.names])
     parsed = lines.select(ORDER, F.from_json("value", typed).alias("r"), F.parse_json("value").alias("v"))
     cells = [F.try_variant_get("v", f"$['{n}']", "variant").alias(n) if n in mixed else F.col("r").getField(n).alias(n) if n in typed.names else F.lit(None).cast("string").alias(n) for n in names]
@@ -128,16 +132,18 @@ def _plain(kind: T.DataType) -> T.DataType:
 def ref(context: Any, args: Mapping[str, Any]) -> DataFrame:
     """Another node's rows, or a memory table; one that nobody made is empty."""
     found = context.table(args["node"])
-    return ordered(context.spark.createDataFrame([], T.StructType([]))) if found is None else found
+    return context.spark.createDataFrame([], T.StructType([])) if found is None else found
 
 
 def sql(context: Any, args: Mapping[str, Any]) -> DataFrame:
-    return ordered(context.sql(args["sql"]))
+    return context.sql(args["sql"])
 
 
 def parquet(context: Any, args: Mapping[str, Any]) -> DataFrame:
     """A table in files; ``order`` names columns that say in which order rows were met, by default file and place."""
     df = context.spark.read.parquet(args["url"])
+    if not args.get(ORDER, True):  # dropped again, the place in the file would stay in the scan
+        return df
     order = args.get("order")
     keys = [order] if isinstance(order, str) else list(order or ())
     return df.withColumn(ORDER, F.struct(*keys) if keys else F.struct("_metadata.file_path", "_metadata.row_index"))
@@ -176,16 +182,22 @@ def sqlite(context: Any, args: Mapping[str, Any]) -> DataFrame:
                     cells = [[(None if v is None else str(plain(v))) if t else v for v in column] for t, column in zip(text, zip(*rows))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, arrow)], schema=arrow)
 
-    return ordered(context.spark.range(1, numPartitions=1).mapInArrow(run, schema))
+    return context.spark.range(1, numPartitions=1).mapInArrow(run, schema)
 
 
 def kvstore(context: Any, args: Mapping[str, Any]) -> DataFrame:
-    return ordered(context.spark.read.parquet(context.home(f"kv/{args['name']}")).drop("_key"))
+    """The last row of each key, as the newest whole version of the store has it."""
+    found = current(context.spark, context.home(f"kv/{args['name']}"))
+    if found is None:
+        raise ValueError(f"there is no kvstore '{args['name']}'")
+    return context.spark.read.parquet(found).drop("_key")
 
 
 def index(context: Any, args: Mapping[str, Any]) -> DataFrame:
     """The documents of a term index that a query finds: words are alternatives, ``+word`` must and ``-word`` must not be there, ``field:word`` looks in one field."""
-    spark, home = context.spark, context.home(f"index/{args['name']}")
+    spark, home = context.spark, current(context.spark, context.home(f"index/{args['name']}"))
+    if home is None:
+        raise ValueError(f"there is no index '{args['name']}'")
     docs = spark.read.parquet(f"{home}/documents")
     query = (args.get("query") or "").strip()
     if query not in ("", "*", "*:*"):
@@ -226,7 +238,8 @@ def nats(context: Any, args: Mapping[str, Any]) -> DataFrame:
 
 
 def file_stream(context: Any, args: Mapping[str, Any]) -> DataFrame:
-    return context.spark.readStream.format(args["format"]).schema(args["schema"]).load(args["url"])
+    read = context.spark.readStream.format(args["format"]).schema(args["schema"])
+    return (read.option("maxFilesPerTrigger", args["maxFilesPerTrigger"]) if args.get("maxFilesPerTrigger") else read).load(args["url"])
 
 
 SOURCES: dict[str, Callable[[Any, Mapping[str, Any]], DataFrame]] = {
@@ -235,8 +248,10 @@ SOURCES: dict[str, Callable[[Any, Mapping[str, Any]], DataFrame]] = {
 }
 
 
-def open_source(context: Any, source: Part) -> DataFrame:
+def open_source(context: Any, source: Part, order: bool = True) -> DataFrame:
+    """A source's rows, with the hidden order column if ``order`` asks for it."""
     function = plugins.SOURCES.get(source.kind) or SOURCES.get(source.kind)
     if function is None:
         raise ValueError(f"unknown source kind '{source.kind}'")
-    return ordered(function(context, source.args))
+    rows = function(context, source.args if order else {**source.args, ORDER: False})
+    return ordered(rows) if order else visible(rows)

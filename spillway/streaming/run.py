@@ -9,27 +9,32 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from spillway.functions.semantics import ordered, visible
+from spillway.sinks.write import WHOLE
 
 
 def run_stream(node: Any, df: DataFrame, writers: list[tuple[Any, Callable[..., None]]], context: Any, status: Any, cancelled: threading.Event) -> DataFrame:
     """Runs until the stream ends (a file stream: until what is there is read) or the job is cancelled.
 
-    With a reduction each batch holds all groups so far; without one, each batch its own rows, and a folder of parts
-    gets the batch's number in its name, so that a batch that is run again replaces itself.
+    With a reduction each batch holds all groups so far and takes the place of the one before. Without one, each batch holds its own rows: a
+    folder of parts gets a folder with the batch's number, so that a batch that is run again replaces itself; a keyed store takes
+    the rows up; a single file or an index is written from all batches when the stream has ended.
     """
     totals = {"in": 0, "out": 0}
     labels = [str(s["label"]) for s in node.sinks if s.kind == "counting"]
     tables = [str(s["name"]) for s in node.sinks if s.kind == "memory-table"]
     parts = context.home(f"streams/{status.job_id}/{node.id}")
+    at_the_end = [] if node.reduce else [(s, w) for s, w in writers if s.kind in WHOLE and not str(s.args.get("url", "")).endswith("/")]
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = ordered(rows).persist()
         try:
             n = rows.count()
             totals["out"] = n if node.reduce else totals["out"] + n
-            if tables or not writers:
+            if tables or at_the_end or not writers:
                 visible(rows).write.mode("overwrite").parquet(f"{parts}/rows/{'batch=0' if node.reduce else f'batch={number}'}")
             for sink, write in writers:
+                if (sink, write) in at_the_end:
+                    continue
                 args = dict(sink.args)
                 if "url" in args and args["url"].endswith("/") and not node.reduce:
                     args["url"] = f"{args['url']}batch-{number}/"
@@ -55,6 +60,8 @@ def run_stream(node: Any, df: DataFrame, writers: list[tuple[Any, Callable[...,
         if "PATH_NOT_FOUND" not in str(e):
             raise
     made = ordered(made)
+    for sink, write in at_the_end:
+        write(made, sink.args, context)
     for name in (node.id, *tables):
         context.put(name, made)
         if name in tables:

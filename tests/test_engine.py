@@ -8,9 +8,11 @@ import time
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from spillway import Engine, compile_job, decorate_sinks, parse, plugins, register_function, register_sink, register_source, register_step
 from spillway.plans.jobs import History, JobStatus, Registry, Restartable
+from spillway.sources.stores import whole_path
 
 
 def one(spark, source, steps=(), reduce=None):
@@ -131,10 +133,38 @@ def test_scripts_are_not_evaluated(spark):
     assert sorted(r["a"] for r in one(spark, inline({"a": 1}, {"a": 2}, {"a": 3}), [{"kind": "groovy-map", "script": "doubled"}])) == [2, 4]
 
 
-@pytest.mark.parametrize("kind", ["jvs-groovy", "jvs-enrich", "jvs-translate"])
-def test_steps_that_need_a_plugin(spark, kind):
-    with pytest.raises(ValueError, match="register_step"):
-        one(spark, inline({"a": 1}), [{"kind": kind, "script": "x"}])
+def test_typed_steps(spark):
+    script = {"copyAll": True, "copy": {"deep": "o.x"}, "set": {"b": "a + 1"}, "append": {"l": "a"}, "times": {"t": {"n": "a", "as": "i", "each": "i * 2"}}, "when": [{"if": "a > 1", "set": {"size": "'big'"}}], "where": "a < 3"}
+    rows = one(spark, inline({"a": 1, "o": {"x": "p"}, "l": [9]}, {"a": 2, "o": {"x": None}, "l": None}, {"a": 3, "o": None, "l": []}), [{"kind": "jvs-groovy", "script": script}, {"kind": "project", "cols": ["a", "b", "deep", "l", "t", "size"]}])
+    assert rows == [{"a": 1, "b": 2, "deep": "p", "l": [9, 1], "t": [0], "size": None}, {"a": 2, "b": 3, "deep": None, "l": [2], "t": [0, 2], "size": "big"}]
+    typed = one(spark, inline({"a": "7"}), [{"kind": "jvs-groovy", "script": "copyAll: true", "typeJson": {"fields": [{"name": "a", "type": "core_long"}]}}])
+    assert typed == [{"a": 7}]
+    for script in ("target.a = 1", "{run: x}"):
+        with pytest.raises(ValueError, match="not evaluated"):
+            one(spark, inline({"a": 1}), [{"kind": "jvs-groovy", "script": script}])
+
+
+MLS = {"kind": "jvs-groovy", "script": {"set": {"id": "id"}, "mls": {"title": [{"lang": "en", "text": "t"}]}}}
+
+
+def test_texts_in_several_languages(spark, tmp_path):
+    plugins.register_enricher("length", "chars")(lambda text: F.length(text))
+    plugins.register_translator("loud")(lambda texts, source, target: [f"{target} {t.upper()}" for t in texts])
+    given = inline({"id": 1, "t": "One two. Three!"}, {"id": 2, "t": None}, {"id": 3, "t": ""})
+    rows = one(spark, given, [MLS, {"kind": "jvs-enrich"}, {"kind": "jvs-translate", "targetLangs": ["fr", "en"], "model": "loud"}])
+    by = {r["id"]: r["title"]["mls"] for r in rows}
+    assert [(m["lang"], m["text"]) for m in by[1]] == [("en", "One two. Three!"), ("fr", "fr ONE TWO. THREE!")]
+    assert by[1][0]["clean"] == "one two three" and by[1][0]["segmented"] == ["One two.", "Three!"] and by[1][0]["chars"] == 15 and by[1][1]["clean"] is None
+    assert len(by[2]) == 1 and by[2][0]["clean"] is None and [m["lang"] for m in by[3]] == ["en", "fr"]
+    for step, why in (({"kind": "jvs-enrich", "tags": ["pos"]}, "register_enricher"), ({"kind": "jvs-translate", "targetLangs": ["fr"], "model": "none"}, "register_translator")):
+        with pytest.raises(ValueError, match=why):
+            one(spark, given, [MLS, step])
+    assert one(spark, inline({"a": 1}), [{"kind": "jvs-enrich"}, {"kind": "jvs-translate", "targetLangs": ["fr"]}]) == [{"a": 1}]
+    engine = Engine(spark, tmp_path)
+    job = {"job": "i", "nodes": [{"id": "a", "pipeline": {"source": given, "steps": [MLS], "sinks": [{"kind": "jvs-lucene", "name": "x"}]}}, {"id": "b", "depends": ["a"], "pipeline": {"source": {"kind": "lucene", "name": "x", "query": "title.en:three"}}}]}
+    run = engine.run(yaml.safe_dump(job))
+    assert run.status.state == "SUCCEEDED", run.status.error
+    assert [r["id"] for r in run.table("b").collect()] == [1]
 
 
 def test_plugins(spark, tmp_path):
@@ -177,7 +207,7 @@ def test_a_failed_node_stops_later_ranks(spark, tmp_path):
     assert (status.state, status.node("a").state, status.node("b").state) == ("FAILED", "FAILED", "PENDING")
     cyclic = Engine(spark, tmp_path).run("job: f\nnodes: [{id: a, depends: [a], pipeline: {source: {kind: inline, rows: []}}}]").status
     assert cyclic.state == "FAILED" and "cycle" in cyclic.error
-    for sink in ("{kind: jvs-lucene, name: x}", "{kind: kafka, bootstrap: h, topic: t}"):
+    for sink in ("{kind: csv-file, url: /proc/nowhere/x.csv, cols: [a]}", "{kind: kafka, bootstrap: h, topic: t}"):
         assert Engine(spark, tmp_path).run(f"job: f\nnodes: [{{id: a, pipeline: {{source: {{kind: inline, rows: [{{a: 1}}]}}, sinks: [{sink}]}}}}]").status.state == "FAILED"
 
 
@@ -306,3 +336,60 @@ def test_distinct_count_of_a_stream_is_exact(spark, tmp_path):
     run = Engine(spark, tmp_path / "home").run(text)
     assert run.status.state == "SUCCEEDED", run.status.error
     assert [r["n"] for r in run.table("a").collect()] == [1500] * 3
+
+
+def put(spark, home, rows, key="k"):
+    text = yaml.safe_dump({"job": "w", "nodes": [{"id": "a", "pipeline": {"source": inline(*rows), "sinks": [{"kind": "kvstore", "name": "s", "keyExpr": key}]}}]})
+    run = Engine(spark, home).run(text)
+    assert run.status.state == "SUCCEEDED", run.status.error
+
+
+def test_kvstore_takes_later_writes_up(spark, tmp_path):
+    read = lambda: {r["k"]: (r["v"], r["w"]) for r in compile_job(parse("job: r\nnodes: [{id: a, pipeline: {source: {kind: kvstore, name: s}}}]"), spark, str(tmp_path))["a"].collect()}
+    with pytest.raises(ValueError, match="no kvstore"):
+        read()
+    put(spark, tmp_path, [{"k": "a", "v": 1, "w": "x"}, {"k": "b", "v": 2, "w": "y"}, {"k": "a", "v": 3, "w": None}, {"k": None, "v": 9, "w": "lost"}])
+    assert read() == {"a": (3, None), "b": (2, "y")}
+    put(spark, tmp_path, [{"k": "c", "v": 4, "w": "z"}, {"k": "b", "v": 5}])
+    assert read() == {"a": (3, None), "b": (5, None), "c": (4, "z")}
+    put(spark, tmp_path, [{"k": "a", "v": "text", "w": "t"}])
+    assert read() == {"a": ("text", "t"), "b": ("5", None), "c": ("4", "z")}
+    (tmp_path / "kv" / "s" / "v-00000009").mkdir()  # a write that broke off
+    assert len(read()) == 3
+    put(spark, tmp_path, [{"k": "d", "v": "1", "w": "1"}])
+    assert len(read()) == 4 and len([x for x in (tmp_path / "kv" / "s").iterdir() if (x / "_SUCCESS").exists()]) == 2
+
+
+def test_a_stream_keeps_the_rows_of_all_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sinks = [{"kind": "ndjson-file", "url": f"{tmp_path}/o.ndjson"}, {"kind": "csv-file", "url": f"{tmp_path}/o.csv", "cols": ["v"]}, {"kind": "json-file", "url": f"{tmp_path}/o.json"}, {"kind": "parquet", "url": f"{tmp_path}/o.parquet"}, {"kind": "kvstore", "name": "s", "keyExpr": "v"}, {"kind": "lucene", "name": "i"}, {"kind": "ndjson-file", "url": f"{tmp_path}/folder/"}]
+    text = yaml.safe_dump({"job": "s", "nodes": [{"id": "a", "pipeline": {"source": {"kind": "file-stream", "url": f"{tmp_path}/in", "schema": "v long", "maxFilesPerTrigger": 1}, "sinks": sinks}}]})
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"v": {k}}}\n{{"v": {k + 10}}}\n')
+    for more in (None, '{"v": 99}\n'):  # the second run goes on from the checkpoint
+        if more:
+            (tmp_path / "in" / "more.json").write_text(more)
+        run = Engine(spark, tmp_path / "home").run(text, job_id="fixed")
+        assert run.status.state == "SUCCEEDED", run.status.error
+        want = [0, 1, 2, 10, 11, 12] + ([99] if more else [])
+        back = lambda source: sorted(int(r["v"]) for r in compile_job(parse(yaml.safe_dump({"job": "r", "nodes": [{"id": "a", "pipeline": {"source": source}}]})), spark, str(tmp_path / "home"))["a"].collect())
+        for source in ({"kind": "ndjson-file", "url": f"{tmp_path}/o.ndjson"}, {"kind": "csv-file", "url": f"{tmp_path}/o.csv"}, {"kind": "json-file", "url": f"{tmp_path}/o.json"}, {"kind": "parquet", "url": f"{tmp_path}/o.parquet"}, {"kind": "kvstore", "name": "s"}, {"kind": "lucene", "name": "i"}, {"kind": "ndjson-file", "url": f"{tmp_path}/folder/"}):
+            assert back(source) == want, source
+
+
+def test_home_is_any_url_that_spark_reads(spark, tmp_path):
+    engine = Engine(spark, f"file:{tmp_path}/h/")
+    assert engine.home == f"file:{tmp_path}/h" and whole_path("s3://bucket/home/") == "s3://bucket/home"
+    assert engine.run_bundled("store-and-search").status.state == "SUCCEEDED"
+    assert (tmp_path / "h" / "history.ndjson").exists() and engine.places() == {"kvstore:notes": f"file:{tmp_path}/h/kv/notes", "lucene:notes": f"file:{tmp_path}/h/index/notes"}
+    assert [x["job"] for x in Engine(spark, f"file:{tmp_path}/h").past()] == ["store-and-search"]
+    engine.restartable.put("a", "job: a")
+    assert list(Engine(spark, f"file:{tmp_path}/h").restartable.all()) == ["a"]
+
+
+def test_ndjson_with_a_schema_and_nested_types(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text('{"v": 1, "o": {"p": 1.5, "q": [1, 2]}, "z": null}\n{"v": 2, "o": {"p": 2}}\n')
+    assert one(spark, {"kind": "ndjson-file", "url": str(tmp_path / "a.ndjson")}) == [{"o": {"p": 1.5, "q": [1, 2]}, "v": 1, "z": None}, {"o": {"p": 2.0, "q": None}, "v": 2, "z": None}]
+    assert one(spark, {"kind": "ndjson-file", "url": str(tmp_path / "a.ndjson"), "schema": "v string, w long"}) == [{"v": "1", "w": None}, {"v": "2", "w": None}]
+    (tmp_path / "b.json").write_text('[{"v": 1}, {"v": 2}]')
+    assert one(spark, {"kind": "json-file", "url": str(tmp_path / "b.json"), "schema": "v double"}) == [{"v": 1.0}, {"v": 2.0}]
