@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch: texts are handed to Python in slices of bounded memory.
@@ -14,9 +12,14 @@ BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a new one of its own (tests); a cluster's executors couldn't reach that.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spillway-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,11 +50,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
-    """UTF-8 bytes of a string column, null as empty, without building str objects."""
-    column = batch.column(batch.schema.get_field_index(name))
-    for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
-        yield x.as_py() or b""
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
