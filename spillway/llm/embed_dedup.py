@@ -7,14 +7,16 @@ other's or probed by it, in any table; then their cosine is taken in double prec
 from the number of vectors, so that cells stay small, and the number of tables from the chance, measured on
 random pairs at the threshold, that a table misses a pair.
 
-Equal vectors are one class with a multiplicity. A pair of classes is counted in the first table and cell where it meets,
-which both rows' cells tell without any exchange of pairs. A cell with more than ``chunk`` rows is cut into parts, and each
+Equal vectors are one class with a multiplicity. What is exchanged first is a class and a cell, without vectors; only where a cell
+has a row of its own and another one do vectors follow. A pair of classes is counted in the first table and cell where it meets,
+which the workers tell from both vectors. A cell with more than ``chunk`` rows is cut into parts, and each
 two parts are a task of their own. Only sums and forests of links leave a task.
 
 Defined results: labels that are null, and vectors that are null, empty, zero or hold null or non-finite components, link with
-nothing; nor do vectors of different length. Every row counts as a vector: repeated rows are copies that link with each other.
-Rows with one ``vec_id`` but different vectors are one node. A row with a null ``vec_id`` links like any other, but its class
-is named by the smallest id that is there, and a class without one is left alone. An empty table gives an empty table.
+nothing; nor do vectors of different length. Labels of any type are compared as they are (texts by 64-bit hashes), vectors of floats as
+floats, others as doubles. Every row counts as a vector: repeated rows are copies that link with each other, rows with one ``vec_id`` but
+different vectors are different vectors, and so are rows with a null one. A component is named by the smallest id in it, null if there
+is none; two vectors are taken for equal by 128-bit hashes. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spillway.llm.common import small_batches, table
 from spillway.llm.components import components
@@ -35,7 +38,7 @@ from spillway.llm.simhash import Forest
 BLOCK, SEED = 8, 20
 #: Bits that a block tells apart at this width; the width of a cell, in typical differences of a pair at the threshold.
 BLOCK_BITS, WIDTH = 9, 8.5
-CHUNK, GATHER, RECALL = 2048, 1 << 14, 0.995
+CHUNK, GATHER, RECALL = 8192, 1 << 14, 0.995
 
 
 def nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -123,12 +126,11 @@ def units(vectors: pa.Array, n: int) -> np.ndarray:
 
 
 def near(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Rows (label, dim, t, cell, a, b, part, own, id, mult, cells, vec) sorted by the first six: ``id, n, root`` for each linked row."""
+    """Rows (label, dim, t, cell, a, b, part, own, id, mult, vec) sorted by the first six: ``id, n, root`` for each linked row."""
 
-    def group(g: dict[str, np.ndarray], unit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def group(g: dict[str, np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         own, part, one = g["own"], g["part"], g["a"][0] == g["b"][0]
-        if not own.any():
-            return None
+        cells, made = np.zeros((len(own), tables, 1 + blocks), np.int64), np.zeros(len(own), bool)
         left = np.arange(len(own)) if one else np.flatnonzero(part == g["a"][0])
         right = left if one else np.flatnonzero(part == g["b"][0])
         count, forest = np.zeros(len(own), np.int64), Forest(len(own))
@@ -143,6 +145,9 @@ def near(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int, table
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 swap = g["id"][p] > g["id"][q]
                 p, q = np.where(swap, q, p), np.where(swap, p, q)
+                new = np.unique(np.concatenate([p, q]))
+                new = new[~made[new]]
+                cells[new], made[new] = lattice(int(g["dim"][0]), blocks, tables, threshold).cells(unit[new]), True
                 first, cell = met(cells[p], cells[q])
                 here = (first == g["t"][0]) & (cell == g["cell"][0])
                 p, q = p[here], q[here]
@@ -165,8 +170,7 @@ def near(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int, table
                 if not part["own"].any():
                     continue
                 unit = units(rows.column("vec").slice(lo, hi - lo).combine_chunks(), hi - lo)
-                cells = rows.column("cells").slice(lo, hi - lo).combine_chunks().flatten().to_numpy().reshape(hi - lo, tables, 1 + blocks)
-                if (out := group(part, unit, cells)) is not None:
+                if (out := group(part, unit)) is not None:
                     found.append(out)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "n", "root"])
@@ -190,21 +194,26 @@ def near(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int, table
         yield from work(held)
 
 
-def dedup(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", chunk: int = CHUNK, recall: float = RECALL) -> DataFrame:
-    """``vec_id, n_links, component_id, kept``: a row for each row of ``df``."""
+def dedup(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", chunk: int = CHUNK, recall: float = RECALL, blocks: int | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept``: a row for each row of ``df``. ``blocks``: of a cell, by default as many as the number of vectors asks for."""
     spark = df.sparkSession
     small_batches(spark)
-    label = F.lit(0).cast("int") if label_col is None else df[label_col].cast("int")
-    rows = df.select(df[id_col].cast("long").alias("id"), label.alias("label"), df[vector_col].cast("array<float>").alias("vec"))
+    label = F.lit(0) if label_col is None else df[label_col]
+    vector = df[vector_col]
+    if not (isinstance(kind := df.schema[vector_col].dataType, T.ArrayType) and isinstance(kind.elementType, T.FloatType)):
+        vector = vector.cast("array<double>")
+    # A hash of up to eight bytes tells all their values apart.
+    rows = df.select(df[id_col].cast("long").alias("id"), F.when(label.isNotNull(), F.xxhash64(label)).alias("label"), vector.alias("vec"))
     sound = F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    same = ["label", "h1", "h2", "sound"]
     keyed = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit("second"), "vec"))
-    places = table(keyed.select("id", "label", "sound", "h1", "h2"), "vectors")
-    classes = keyed.where("sound").groupBy("label", "h1", "h2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
-    classes = table(classes.withColumn("dim", F.size("vec")), "vector-classes")
-    live = classes.where(F.col("class").isNotNull())
-    n = max(2, live.count())
-    blocks = max(1, math.ceil((math.log2(n) - 4) / BLOCK_BITS))
-    tables = tables_needed(blocks, threshold, recall)
+    places = table(keyed.select("id", *same), "vectors")
+    classes = keyed.where("sound").groupBy(*same).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
+    # As a table, so that the numbers stay.
+    classes = table(classes.select("*", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("node")), "vector-classes")
+    n, low, high = classes.agg(F.count(F.lit(1)), F.min("dim"), F.max("dim")).first()
+    blocks = blocks or max(1, math.ceil((math.log2(max(2, n)) - 4) / BLOCK_BITS))
+    tables = max(tables_needed(blocks, threshold, recall, dim) for dim in {low or 64, high or 64})
 
     @F.arrow_udf("array<long>")
     def cells_of(vec: pa.Array) -> pa.Array:
@@ -215,32 +224,26 @@ def dedup(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector
             out[at] = lattice(int(dim), blocks, tables, threshold).cells(units(vec.take(pa.array(at)), len(at))).reshape(len(at), -1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(vec) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
-    signed = table(live.select("label", "dim", F.col("class").alias("id"), "mult", "vec", cells_of("vec").alias("cells")), "vector-cells")
-    spread = signed.select("label", "dim", "id", "mult", "cells", "vec", F.posexplode("cells").alias("k", "cell"))
-    spread = spread.select("label", "dim", F.expr(f"k div {1 + blocks}").cast("int").alias("t"), "cell", (F.col("k") % (1 + blocks) == 0).alias("own"), "id", "mult", "cells", "vec")
+    spread = classes.select("label", "dim", "node", cells_of("vec").alias("cells")).select("label", "dim", "node", F.posexplode("cells").alias("k", "cell"))
+    spread = table(spread.select("label", "dim", F.expr(f"k div {1 + blocks}").cast("int").alias("t"), "cell", (F.col("k") % (1 + blocks) == 0).alias("own"), "node"), "cells")
     key = ["label", "dim", "t", "cell"]
-    hot = table(spread.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > chunk), "hot-cells")
+    met_in = spread.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("own").alias("any")).where("rows > 1 and any").select(*key, "rows")
     zero = F.lit(0).cast("int")
-    rest = ["own", "id", "mult", "cells", "vec"]
-    if hot.isEmpty():
-        tasks = spread.select(*key, zero.alias("a"), zero.alias("b"), zero.alias("part"), *rest)
-    else:
-        marked = spread.join(hot, key, "left")
-        calm = marked.where("rows is null").select(*key, zero.alias("a"), zero.alias("b"), zero.alias("part"), *rest)
-        parts = F.ceil(F.col("rows") / chunk).cast("int")
-        cut = marked.where("rows is not null").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        tasks = calm.unionByName(cut.select(*key, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", *rest))
+    parts = F.ceil(F.col("rows") / chunk).cast("int")
+    cut = spread.join(table(met_in, "live-cells"), key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    cut = cut.select(*key, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "own", "node")
+    tasks = cut.join(classes.select("node", "mult", "vec"), "node")
     order = [*key, "a", "b"]
-    dealt = tasks.repartition(*order).sortWithinPartitions(*order)
+    dealt = tasks.select(*order, "part", "own", F.col("node").alias("id"), "mult", "vec").repartition(*order).sortWithinPartitions(*order)
     found = table(dealt.mapInArrow(lambda batches: near(batches, threshold, blocks, tables), "id long, n long, root long"), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    counts = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found, "id", "root")
-    by_class = live.select("label", "h1", "h2", F.col("class").alias("id"), "mult").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    by_class = by_class.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    alone = classes.where(F.col("class").isNull()).select("label", "h1", "h2", (F.col("mult") - 1).alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    by_class = table(by_class.unionByName(alone), "vector-results").withColumn("sound", F.lit(True))
-    out = places.join(by_class, ["label", "h1", "h2", "sound"], "left")
+    named = classes.select("node", "least", "mult").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = table(named.join(counts, "node", "left").select("node", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "vector-results")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = named.join(smallest, "root").join(classes.select("node", *same), "node").select(*same, "n_links", "component_id")
+    out = places.join(table(by_class, "vector-components"), same, "left")
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
