@@ -4,6 +4,7 @@
 _PLACES = {
     "Engine": "spillway.plans.jobs", "Job": "spillway.plans.spec", "SpecError": "spillway.plans.spec", "parse": "spillway.plans.spec", "job": "spillway.plans.dsl", "compile_job": "spillway.plans.dag",
     "decorate_sinks": "spillway.plugins", "register_function": "spillway.plugins", "register_sink": "spillway.plugins", "register_source": "spillway.plugins", "register_step": "spillway.plugins",
+    "register_enricher": "spillway.plugins", "register_translator": "spillway.plugins", "ship": "spillway.shipping",
 }
 __all__ = list(_PLACES)
 
