@@ -1,7 +1,7 @@
 """Byte-level BPE as a monoid: halves are encoded on their own and joined at the boundary.
 
 ``encode`` splits a text with the tokenizer's pattern and reduces each match as a tree over its bytes: both
-halves of a span are encoded recursively, then joined. Joining two token lists re-encodes a window around
+halves of a span are encoded recursively, down to single bytes and spans that are one token, then joined. Joining two token lists re-encodes a window around
 the boundary that grows until the tokens outside provably stay: a sequence of tokens is what BPE makes of its
 bytes exactly if every two neighbours are what BPE makes of theirs, so the window is final once its outer
 tokens fit the tokens beside it. ``decode`` concatenates the bytes of both halves up the same kind of tree.
@@ -29,21 +29,23 @@ from pyspark.sql import functions as F
 
 from spillway.llm.common import documents, small_batches
 
-#: A span of so many bytes is merged directly; spans up to SHORT without a heap.
-LEAF, SHORT = 16, 64
-#: Distinct matches a worker remembers in each of two generations, and the longest match worth remembering.
+#: Spans up to so many bytes are merged without a heap.
+SHORT = 64
+#: Distinct matches a worker remembers in each of two generations, and the longest one worth it; spans and pairs of tokens, and the longest span.
 MEMO, MEMO_CHARS = 250_000, 64
+SPANS, SPAN = 100_000, 16
 #: Ids joined at once at the leaves of decoding.
 RUN = 4096
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
-        self.ranks, self.leaf = ranks, max(1, leaf)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.bytes_of: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
         self._fits: dict[tuple[int, int], bool] = {}
+        self._spans: dict[bytes, list[int]] = {}
 
     @classmethod
     def parse(cls, raw: bytes) -> Bpe:
@@ -94,7 +96,7 @@ class Bpe:
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE makes just these two tokens of their bytes."""
         if (known := self._fits.get((a, b))) is None:
-            if len(self._fits) >= MEMO:
+            if len(self._fits) >= SPANS:
                 self._fits.clear()
             known = self._fits[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -115,18 +117,25 @@ class Bpe:
             a, b = a if left_holds else 2 * a, b if right_holds else 2 * b
 
     def encode(self, data: bytes) -> list[int]:
-        """One match of the pattern."""
+        """One match of the pattern; a match that is a token is that."""
         if (i := self.ranks.get(data)) is not None:
             return [i]
-        if len(data) <= self.leaf:
-            return self.merge(data)
-        return self._tree(data, 0, len(data))
-
-    def _tree(self, data: bytes, lo: int, hi: int) -> list[int]:
-        if hi - lo <= self.leaf:
-            return self.merge(data[lo:hi])
-        mid = (lo + hi) // 2
-        return self.join(self._tree(data, lo, mid), self._tree(data, mid, hi))
+        return self.tree(data)
+
+    def tree(self, data: bytes) -> list[int]:
+        """A span: both halves on their own, joined; down to single bytes, or spans that BPE makes one token of."""
+        if (known := self._spans.get(data)) is not None:
+            return known
+        n = len(data)
+        if n < 2:
+            return [self.ranks[data]] if n else []
+        i = self.ranks.get(data)
+        out = [i] if i is not None and self.merge(data) == [i] else self.join(self.tree(data[: n // 2]), self.tree(data[n // 2 :]))
+        if n <= SPAN:
+            if len(self._spans) >= SPANS:
+                self._spans.clear()
+            self._spans[data] = out
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) > RUN:
