@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm.common import small_batches, table
+from spillway.llm.common import small_batches, table, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 MAX_FILTER_BYTES, MAX_EXCEPTIONS = 64 << 20, 1_000_000
@@ -63,23 +63,41 @@ class Cuckoo:
         mark = np.where(mark == 0, np.uint32(1), mark)
         mask = (np.uint64(1) << np.asarray(bits).astype(np.uint64)) - np.uint64(1)
         first = (lo.view(np.uint64) >> np.uint64(20)) & mask
-        return mark, first, first ^ ((mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) & mask)
+        return mark, first, first ^ Cuckoo._step(mark, bits)
 
-    def insert(self, hi: int, lo: int) -> bool:
-        """False if there is no room; the filter must then be built anew, larger."""
-        mark, first, second = (int(x[0]) for x in self.places(np.array([hi], "<i8"), np.array([lo], "<i8"), self.bits))
-        at = first
+    @staticmethod
+    def _step(mark: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+        """What parts a mark's two buckets."""
+        mask = (np.uint64(1) << np.asarray(bits).astype(np.uint64)) - np.uint64(1)
+        return (mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) & mask
+
+    def insert(self, hi: np.ndarray, lo: np.ndarray) -> bool:
+        """All keys at once; False if there is no room: the filter must then be built anew, larger."""
+        mark, first, second = self.places(np.ascontiguousarray(hi), np.ascontiguousarray(lo), self.bits)
+        rest = self._settled(mark, first.astype(np.int64), np.arange(len(mark)))
+        at = second.astype(np.int64)
+        rest = self._settled(mark, at, rest)
         for turn in range(KICKS):
-            for place in (first, second) if turn == 0 else (at,):
-                free = np.flatnonzero(self.slots[place] == 0)
-                if len(free):
-                    self.slots[place, free[0]] = mark
-                    return True
-            out = (turn * 7 + mark) % SLOTS
-            at = second if turn == 0 else at
-            mark, self.slots[at, out] = int(self.slots[at, out]), mark
-            at ^= (mark * 0x9E3779B97F4A7C15 % (1 << 64) >> 17) & ((1 << self.bits) - 1)
-        return False
+            if not len(rest):
+                return True
+            # Of those that wait at one bucket one takes the place of a mark there, which then waits at its other bucket.
+            kicker = rest[np.unique(at[rest], return_index=True)[1]]
+            bucket, slot = at[kicker], (turn * 7 + mark[kicker].astype(np.int64)) % SLOTS
+            mark[kicker], self.slots[bucket, slot] = self.slots[bucket, slot], mark[kicker]
+            at[kicker] = bucket ^ self._step(mark[kicker], self.bits).astype(np.int64)
+            rest = self._settled(mark, at, rest)
+        return not len(rest)
+
+    def _settled(self, mark: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Puts as many of ``rest`` as there is room for into the buckets ``at``; returns the others."""
+        rest = rest[np.argsort(at[rest], kind="stable")]
+        bucket = at[rest]
+        place = np.arange(len(rest)) - np.searchsorted(bucket, bucket)
+        taken = self.slots[bucket] != 0
+        fits = place < SLOTS - taken.sum(1)
+        slot = np.argsort(taken, axis=1, kind="stable")[np.arange(len(rest)), np.minimum(place, SLOTS - 1)]
+        self.slots[bucket[fits], slot[fits]] = mark[rest[fits]]
+        return rest[~fits]
 
     def delete(self, hi: int, lo: int) -> bool:
         """Only for keys that were inserted."""
@@ -96,7 +114,7 @@ class Cuckoo:
         bits = max(4, int(np.ceil(np.log2(max(1, len(hi)) / (SLOTS * 0.6)))))
         while True:
             made = cls(bits)
-            if all(made.insert(int(a), int(b)) for a, b in zip(hi, lo)):
+            if made.insert(hi, lo):
                 return made
             bits += 1
 
@@ -167,26 +185,32 @@ class LineIndex:
         return self._change(docs, text_col, 1)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """Takes back rows that were inserted before."""
+        """Takes back rows that were inserted before; refuses, without any change, rows of which a line was never inserted so often."""
         return self._change(docs, text_col, -1)
 
     def _change(self, docs: DataFrame, text_col: str, sign: int) -> LineIndex:
         delta = key_counts(docs, text_col, self.min_chars)
         if not self.shards:
-            self.counts = table(delta.where(F.lit(sign > 0)), "line-counts")
+            if sign < 0 and not delta.isEmpty():
+                raise ValueError("nothing was inserted that could be deleted")
+            self.counts = table(delta, "line-counts")
             self._build()
             return self
         both = self.counts.withColumn("d", F.lit(0).cast("long")).unionByName(delta.select("hi", "lo", F.lit(0).cast("long").alias("n"), (F.col("n") * sign).alias("d")))
         changed = table(both.groupBy("hi", "lo").agg(F.sum("n").alias("old"), F.sum(F.col("n") + F.col("d")).alias("n")), "line-counts")
+        if sign < 0 and not changed.where("n < 0").isEmpty():
+            raise ValueError("documents were deleted that weren't inserted")
         self.counts = changed.where("n > 0").select("hi", "lo", "n")
         crossing = changed.where((F.col("old") >= self.min_docs) != (F.col("n") >= self.min_docs)).select(self._shard(), "hi", "lo", (F.col("n") >= self.min_docs).alias("enters"))
 
         def update(held: pa.Table, moves: pa.Table) -> pa.Table:
             rows = held.to_pylist()
             shard = rows[0]["shard"] if rows else moves.column("shard")[0].as_py()
-            made, full = Cuckoo(rows[0]["bits"], np.frombuffer(rows[0]["slots"], "<u4")) if rows else Cuckoo(6), False
-            for m in sorted(moves.to_pylist(), key=lambda m: m["enters"]):
-                full |= not (made.insert if m["enters"] else made.delete)(m["hi"], m["lo"])
+            made = Cuckoo(rows[0]["bits"], np.frombuffer(rows[0]["slots"], "<u4")) if rows else Cuckoo(6)
+            hi, lo, enters = (moves.column(c).to_numpy().astype(kind) for c, kind in (("hi", "<i8"), ("lo", "<i8"), ("enters", bool)))
+            for a, b in zip(hi[~enters], lo[~enters]):
+                made.delete(int(a), int(b))
+            full = not made.insert(hi[enters], lo[enters])
             return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([made.bits], pa.int32()), "slots": pa.array([made.slots.tobytes()], pa.binary()), "full": [full]})
 
         new = table(self.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(update, "shard int, bits int, slots binary, full boolean"), "line-filters")
@@ -240,19 +264,20 @@ class LineIndex:
 
         known = self._broadcast()
         rest = [docs[f"`{c}`"] for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+        made = unused(docs, "cleaned")
         if known is not None:
 
             @F.arrow_udf(kind)
             def clean(text: pa.Array) -> pa.Array:
                 return cleaned(text, known.value.active)
 
-            out = docs.select(*rest, clean(docs[text_col].cast("string")).alias("cleaned"))
+            out = docs.select(*rest, clean(docs[text_col].cast("string")).alias(made))
         else:
-            out = self._joined(docs, text_col, cleaned, kind)
-        back = [F.col(f"`{c}`") if c != text_col else F.col("cleaned.text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        return out.select(*back, "cleaned.n_lines", "cleaned.n_dropped")
+            out = self._joined(docs, text_col, cleaned, kind, made)
+        back = [F.col(f"`{c}`") if c != text_col else F.col(f"{made}.text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        return out.select(*back, f"{made}.n_lines", f"{made}.n_dropped")
 
-    def _joined(self, docs: DataFrame, text_col: str, cleaned, kind: str) -> DataFrame:
+    def _joined(self, docs: DataFrame, text_col: str, cleaned, kind: str, made: str) -> DataFrame:
         """Beyond the bounds of a broadcast: each row's keys meet the active rows of the table in a join.
 
         A row is known by the hash of its text: equal texts lose equal lines. Both sides of the joins are tables, so
@@ -274,8 +299,9 @@ class LineIndex:
             gone = {(k["hi"], k["lo"]) for own in hits if own.as_py() for k in own.as_py()}
             return cleaned(text, lambda hash2: np.array([(int(a), int(b)) in gone for a, b in hash2], bool))
 
-        joined = docs.withColumn("__h", h).join(table(hits, "line-hits").withColumnRenamed("h", "__h").withColumnRenamed("hits", "__hits"), "__h", "left")
-        return joined.withColumn("cleaned", clean(F.col(f"`{text_col}`").cast("string"), "__hits")).drop("__h", "__hits")
+        by, of = unused(docs, "line_h"), unused(docs, "line_hits")
+        joined = docs.withColumn(by, h).join(table(hits, "line-hits").withColumnsRenamed({"h": by, "hits": of}), by, "left")
+        return joined.withColumn(made, clean(F.col(f"`{text_col}`").cast("string"), of)).drop(by, of)
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
