@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +87,13 @@ class Model:
             return []
         hits, safe = [], []
         for end, (length, weight, _) in automaton.iter(text):
-            (safe if weight is None else hits).append((end - length, end, weight))
-        return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)] if safe else hits
+            (safe if weight is None else hits).append((end - length, end, weight or 0.0))
+        if not safe:
+            return hits
+        # The farthest end of any exception that starts no later: a match lies within one exactly if it doesn't go beyond that.
+        safe.sort()
+        starts, ends = [s[0] for s in safe], list(accumulate((s[1] for s in safe), max))
+        return [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
 
     def features(self, automaton, text: str) -> tuple[float, float, float]:
         hits = self.matches(automaton, text)
