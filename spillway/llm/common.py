@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,20 +24,52 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spillway-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir()
     return found.rstrip("/")
 
 
+@lru_cache(1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spillway-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spillway/{uuid.uuid4().hex}-{name}"
 
 
+_scopes = threading.local()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if getattr(_scopes, "held", None):
+        _scopes.held[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Folders of the shared one."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables and archives made inside, by this thread, are deleted at the end; what is taken out of the list stays.
+
+    Results of the operators are lazy and read such tables: write them out before the end.
+    """
+    _scopes.held = [*getattr(_scopes, "held", []), made := []]
+    try:
+        yield made
+    finally:
+        _scopes.held = _scopes.held[:-1]
+        delete(spark, *made)
 
 
 def small_batches(spark: SparkSession) -> None:
