@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import math
 import random
+import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
@@ -167,6 +169,14 @@ def test_folding_and_exceptions(spark):
     assert model.matches(automaton, " trash trash ") == [(1, 6, 2.0), (7, 12, 2.0)]
 
 
+def test_matching_is_linear_in_the_length_of_a_text():
+    model = toxicity.Model({"trash": 2.0, "idiot": 3.0}, ("so trash can", "trash can"), (-2.0, 1.0, 1.0, 0.5))
+    automaton, text = model.automaton(), toxicity.folded("trash can idiot trash so trash can " * 300_000)
+    start = time.time()
+    assert len(text) > 10_000_000 and len(model.matches(automaton, text)) == 600_000
+    assert time.time() - start < 60
+
+
 def test_toxicity_learns_exceptions_and_survives_no_labels(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(50)]
@@ -205,7 +215,7 @@ def pages_want(rows, least):
 PAGES = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://é", "a\r\n\r\nb\r\n\r\n"), (None, "http://n", "<p>é</p>"), (6, "http://6", "x" * 200_000), (6, "http://6", "x" * 200_000)]
 
 
-@pytest.mark.parametrize(("least", "broadcast"), [(0, 10), (5, 10), (0, 0)])
+@pytest.mark.parametrize(("least", "broadcast"), [(0, 10), (5, 10), (0, 0), (5, 0)])
 def test_warc_round_trip(spark, tmp_path, monkeypatch, least, broadcast):
     monkeypatch.setattr(warc, "MAX_REPEATED", broadcast)
     df = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id long, url string, html string, digest int").repartition(3)
@@ -218,6 +228,16 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, least, broadcast):
     assert {r["url"] for r in rows} >= {"http://a/ X: y", "", "http://é"}
 
 
+def test_warc_slices_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE", 4000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 8000)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, "u", rng.bytes(300).hex()) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write(df, f"file://{tmp_path}/w")
+    found = warc.read(index)
+    assert found.rdd.getNumPartitions() >= 8 and len(found.collect()) == 400
+
+
 def test_warc_of_nothing_and_ranges(spark, tmp_path):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))).count() == 0
     runs = warc.coalesced([("a", 0, 10), ("a", 10, 10), ("a", 20 + warc.GAP + 1, 5), ("b", 0, 3)])
@@ -399,6 +419,37 @@ def test_plan_places_every_piece(histogram):
         assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_packing_with_another_tokenizer_file(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizers.path("byte_bpe_50k.json")))
+    assert packing.plain_byte_level(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    assert not packing.plain_byte_level(spec)
+    raw = json.dumps(spec)
+    assert packing.encoder(raw.encode())("Some TEXT, é") == Tokenizer.from_str(raw).encode("some text, é", add_special_tokens=False).ids
+    spec["normalizer"], spec["model"]["merges"] = None, spec["model"]["merges"][::-1]
+    assert not packing.plain_byte_level(spec)
+
+
+@pytest.mark.parametrize(("rows", "broadcast"), [(1 << 16, 500_000), (7, 500_000), (7, 0)])
+def test_a_length_that_most_pieces_have_is_ranked_in_many_buckets(spark, monkeypatch, rows, broadcast):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(packing, "MAX_BROADCAST", broadcast)
+    given = [(1, 5, "same")] * 150 + [(k, 1 + k % 9, "own") for k in range(100)]
+    df = spark.createDataFrame(given, "doc_id long, length int, key string").withColumns({c: F.lit(c) for c in ("row", "bucket", "n", "Rank", "run", "k")})
+    found = packing.pack(df, capacity=16).collect()
+    assert collections.Counter((r["doc_id"], r["length"], r["key"]) for r in found) == collections.Counter(given) and all(r["Rank"] == "Rank" for r in found)
+    sequences = collections.defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 16
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -454,6 +505,27 @@ def test_line_dedup(spark, most):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_line_dedup_with_clashing_columns(spark, most):
+    df = docs(spark, LINES).withColumns({c: F.lit(c) for c in ("cleaned", "Line_H", "line_hits", "__h")})
+    found = line_dedup.LineIndex(spark, 3, max_filter_bytes=most).insert(df).apply(df)
+    assert found.columns == [*df.columns, "n_lines", "n_dropped"]
+    rows = found.collect()
+    assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows) == plain_dedup(LINES, 3)
+    assert all((r["cleaned"], r["Line_H"], r["line_hits"], r["__h"]) == ("cleaned", "Line_H", "line_hits", "__h") for r in rows)
+
+
+def test_line_dedup_refuses_to_delete_what_was_not_inserted(spark):
+    index = line_dedup.LineIndex(spark, 3)
+    with pytest.raises(ValueError, match="inserted"):
+        index.delete(docs(spark, LINES[:5]))
+    index.insert(docs(spark, LINES[:12]))
+    before = {tuple(r) for r in index.counts.collect()}
+    with pytest.raises(ValueError, match="inserted"):
+        index.delete(docs(spark, [(1, "never seen")]))
+    assert {tuple(r) for r in index.counts.collect()} == before
+
+
 def test_line_dedup_is_reversible(spark):
     some, more = LINES[:16], LINES[16:]
     index = line_dedup.LineIndex(spark, 3).insert(docs(spark, some))
@@ -550,6 +622,34 @@ def test_embeddings(spark, chunk):
     assert embed_dedup.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_embeddings_recall_with_more_blocks(spark, blocks):
+    """Cells of two and three lattice points, as tables of thousands and millions of vectors have them."""
+    rng = np.random.default_rng(blocks)
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.981 * base + math.sqrt(1 - 0.981**2) * away  # just above the threshold: the hardest
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))]
+    found = embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), blocks=blocks).collect()
+    linked = sum(r["n_links"] == 1 for r in found)
+    assert linked >= 0.98 * 800 and all(r["component_id"] == r["vec_id"] % 400 for r in found if r["n_links"])
+
+
+def test_embeddings_of_any_label_and_size(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, 1.0, -2.0]
+    big, small = [x * 1e300 for x in v], [x * 1e-60 for x in v]
+    for kind, a, b in (("double", 1.2, 1.9), ("string", "en", "fr"), ("int", 1, 2), ("boolean", True, False)):
+        rows = [(1, v, a), (2, big, a), (3, small, a), (4, v, b), (5, w, a), (6, w, None)]
+        found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.dedup(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+        assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}, kind
+    rows = [(1, v, 1), (1, w, 1), (None, v, 1), (2, w, 1), (None, [9.0, -9.0, 1.0], 1)]
+    found = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert found == collections.Counter([(1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, False), (2, 1, 1, False), (None, 0, None, False)])
+
+
 def test_no_link_is_counted_twice():
     a = np.array([[[1, 2, 3]], [[1, 2, 3]], [[9, 2, 3]]])
     b = np.array([[[1, 5, 6]], [[2, 1, 6]], [[7, 9, 8]]])
