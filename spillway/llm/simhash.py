@@ -34,7 +34,7 @@ from spillway.llm.components import components
 WORDS, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a leaf, children of an upper node within a chunk, fingerprints of a chunk, children of a node above chunks. Larger chunks
 #: mean fewer copies of a fingerprint: each goes to the tasks of all chunks that its own isn't pruned against.
-LEAF, FAN, CHUNK, TOP = 32, 8, 1 << 16, 64
+LEAF, FAN, CHUNK, TOP = 32, 8, 1 << 18, 64
 #: Tasks that pairs of chunks are dealt to at most; pairs of leaves looked at once; shingles hashed at once.
 MAX_TASKS, PAIRS, RUN = 20_000, 256, 1 << 16
 
