@@ -107,6 +107,12 @@ def kvstore(df: DataFrame, args: Mapping[str, Any], context: Any) -> None:
         context.register(args["registerAsTable"], spark.read.parquet(fresh).drop("_key"))
 
 
+#: What one task indexes at most: characters of its documents, each cell counting one more, so that it has at most half as many postings.
+INDEX_CHARS = 1 << 22
+#: Rows of a file of numbered documents: files are read 32 to a task at most, however small they are.
+INDEX_ROWS = 1 << 16
+
+
 def is_mls(kind: T.DataType) -> bool:
     """A text in several languages: a struct of ``mls``, a list of structs with a language and a text."""
     inner = kind["mls"].dataType if isinstance(kind, T.StructType) and "mls" in kind.names else None
@@ -114,7 +120,11 @@ def is_mls(kind: T.DataType) -> bool:
 
 
 def index(df: DataFrame, args: Mapping[str, Any], context: Any, by_language: bool = False) -> None:
-    """A term index: documents by number, and postings (term, field, doc, count) sorted by term. A write replaces the index."""
+    """A term index: documents by number, and postings (term, field, doc, count) sorted by term. A write replaces the index.
+
+    Documents are dealt by their characters before they are cut into terms, so a task's memory has a bound however well the input's files are packed;
+    a document's postings are all in one task and need no shuffle.
+    """
     spark = df.sparkSession
     names = [c for c in df.columns if c != ORDER]
     numbered = df.select(F.monotonically_increasing_id().alias("doc"), *(F.col(f"`{c}`") for c in names))
@@ -130,19 +140,21 @@ def index(df: DataFrame, args: Mapping[str, Any], context: Any, by_language: boo
         return one
 
     def write(home: str) -> None:
-        numbered.write.parquet(f"{home}/all")
+        numbered.write.option("maxRecordsPerFile", INDEX_ROWS).parquet(f"{home}/all")
         kept = spark.read.parquet(f"{home}/all")
-        cells = []
+        cells, chars = [], F.lit(0).cast("long")
         for f in kept.schema.fields:
             if f.name == "doc":
                 continue
             column = F.col(f"`{f.name}`")
+            text = F.to_json(column) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else column.cast("string")
+            chars = chars + F.coalesce(F.length(text), F.lit(0)) + 1
             if by_language and is_mls(f.dataType):
                 cells.append(F.coalesce(F.transform(column["mls"], language(f)), F.array().cast("array<struct<field: string, terms: array<string>>>")))
             else:
-                text = F.to_json(column) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else column.cast("string")
                 cells.append(F.array(F.struct(F.lit(f.name).alias("field"), terms_of(text).alias("terms"))))
-        terms = kept.select("doc", F.explode(F.concat(*cells)).alias("c")).select("doc", "c.field", F.explode("c.terms").alias("term"))
+        tasks = -(-(kept.agg(F.sum(chars)).first()[0] or 1) // INDEX_CHARS)
+        terms = kept.repartition(tasks, "doc").select("doc", F.explode(F.concat(*cells)).alias("c")).select("doc", "c.field", F.explode("c.terms").alias("term"))
         terms.groupBy("term", "field", "doc").agg(F.count(F.lit(1)).alias("count")).sortWithinPartitions("term").write.parquet(f"{home}/postings")
         (kept if args["storeSource"] else kept.select("doc", *[f"`{c}`" for c in names if c in ("id", "_id")])).write.parquet(f"{home}/documents")
         if by_language:

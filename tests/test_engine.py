@@ -5,6 +5,7 @@ import json
 import socket
 import threading
 import time
+from collections import Counter
 
 import pytest
 import yaml
@@ -387,6 +388,33 @@ def test_home_is_any_url_that_spark_reads(spark, tmp_path):
     assert list(Engine(spark, f"file:{tmp_path}/h").restartable.all()) == ["a"]
 
 
+@pytest.mark.parametrize("sink", ["lucene", "jvs-lucene"])
+def test_a_task_of_an_index_has_a_bound(spark, tmp_path, monkeypatch, sink):
+    """All documents come in one partition, as from one small file of many rows; what a task indexes stays bounded, and every posting is there once."""
+    monkeypatch.setattr("spillway.sinks.write.INDEX_CHARS", 20_000, raising=False)
+    monkeypatch.setattr("spillway.sinks.write.INDEX_ROWS", 700, raising=False)
+    title = "struct(array(struct('en' AS lang, concat('en ', id, ' en') AS text), struct('en' AS lang, 'more en' AS text), struct(null AS lang, null AS text)) AS mls) AS title"
+    spark.range(0, 3000, 1, 1).selectExpr("id", "concat('Brand#', id % 7, ' a b a') AS t", "if(id % 2 = 0, null, id % 3) AS n", *([title] if sink == "jvs-lucene" else [])).write.parquet(f"{tmp_path}/in")
+    source = {"kind": "parquet", "url": f"{tmp_path}/in"}
+    run = Engine(spark, tmp_path / "home").run(yaml.safe_dump({"job": "i", "nodes": [{"id": "a", "pipeline": {"source": source, "sinks": [{"kind": sink, "name": "x"}]}}]}))
+    assert run.status.state == "SUCCEEDED", run.status.error
+    home = f"{tmp_path}/home/index/x/v-00000001"
+    docs = {r["doc"]: r["id"] for r in spark.read.parquet(f"{home}/documents").collect()}
+    assert sorted(docs.values()) == list(range(3000))
+    want = Counter()
+    for i in docs.values():
+        for field, terms in {"id": [str(i)], "t": ["brand", str(i % 7), "a", "b", "a"], "n": [str(i % 3)] * (i % 2), "title.en": ["en", str(i), "en", "more", "en"] * (sink == "jvs-lucene")}.items():
+            want.update((term, field, i) for term in terms)
+    postings = spark.read.parquet(f"{home}/postings").withColumn("file", F.input_file_name()).collect()
+    assert len(postings) == len(want) and {(r["term"], r["field"], docs[r["doc"]]): r["count"] for r in postings} == want
+    files = Counter(r["file"] for r in postings)
+    assert len(files) > 3 and max(files.values()) <= 10_000
+    assert len({r["doc"]: r["file"] for r in postings}) == len({(r["doc"], r["file"]) for r in postings})  # dealt by document
+    assert max(r["n"] for r in spark.read.parquet(f"{home}/all").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) <= 700
+    back = lambda query: sorted(r["id"] for r in compile_job(parse(yaml.safe_dump({"job": "r", "nodes": [{"id": "a", "pipeline": {"source": {"kind": "lucene", "name": "x", "query": query}}}]})), spark, str(tmp_path / "home"))["a"].collect())
+    assert back("+t:brand +n:2") == [i for i in range(3000) if i % 2 and i % 3 == 2] and back("id:17 id:2999") == [17, 2999] and len(back("-t:brand")) == 0
+
+
 def test_ndjson_with_a_schema_and_nested_types(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"v": 1, "o": {"p": 1.5, "q": [1, 2]}, "z": null}\n{"v": 2, "o": {"p": 2}}\n')
     assert one(spark, {"kind": "ndjson-file", "url": str(tmp_path / "a.ndjson")}) == [{"o": {"p": 1.5, "q": [1, 2]}, "v": 1, "z": None}, {"o": {"p": 2.0, "q": None}, "v": 2, "z": None}]
